@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import near_dup
+from notarium.llm import near_dup, truncated
 from notarium.runtime import table
 
 BODY = near_dup.Similarity(kind="words", width=3, least=40, threshold=0.5)
@@ -26,5 +26,13 @@ def p1_groups(spark: SparkSession, root: str) -> DataFrame:
     return body.select(F.lit("body").alias("field"), "id", "group_id", "n_links").unionByName(title.select(F.lit("title").alias("field"), "id", "group_id", "n_links"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncated.truncated(table(spark, root, "documents")).where("cut").select(F.col("id").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    return truncated.rates(truncated.truncated(table(spark, root, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
