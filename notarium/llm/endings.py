@@ -240,7 +240,7 @@ def limits(sized: DataFrame, least: int = 3, share: float = 0.25) -> DataFrame:
     return n.where((F.col("n_cut") >= least) & (F.col("n_cut") >= share * F.col("n"))).select("source", "kind", "size")
 
 
-def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest: int = 3, sure: int = 20) -> DataFrame:
+def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest: int = 3, sure: int = 10) -> DataFrame:
     """Whether and why a text counts as cut: one row for each of ``texts`` (id, text, lang, source; other columns are dropped).
 
     Columns id, source, how, state, marked, frame, word, ended, goes_on,
@@ -276,7 +276,7 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     x = loose.join(begun, "word", "left").join(frames.select("frame", "ended"), "frame", "left").join(on, "frame", "left").join(on.toDF("parent", "before"), "parent", "left")
     x = x.select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("begins", "partial")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ended", "goes_on", "before")])
     broken = (F.col("goes_on") >= fewest) & (F.col("ended") < F.greatest(F.lit(1.0), ratio * F.col("goes_on")))
-    stray = F.col("begins") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
+    stray = F.col("begins") & ~F.col("frame").endswith("I") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
     open_, no_end = F.col("how").isin("fence", "row", "open", "byte"), F.col("how") == "loose"
     at = texts.select("id", "source", F.xxhash64("text").alias("h"), F.struct(F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).alias("size")).dropDuplicates(["id"])
     y = at.join(tails, "id").join(x, "id", "left").withColumn("evident", F.coalesce(open_ | (no_end & (F.col("partial") | broken | stray)), F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import near_dup, truncated
+from notarium.llm import contamination, near_dup, pairs, split, truncated
 from notarium.runtime import table
 
 BODY = near_dup.Similarity(kind="words", width=3, least=40, threshold=0.5)
@@ -26,6 +26,36 @@ def p1_groups(spark: SparkSession, root: str) -> DataFrame:
     return body.select(F.lit("body").alias("field"), "id", "group_id", "n_links").unionByName(title.select(F.lit("title").alias("field"), "id", "group_id", "n_links"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.defects(table(spark, root, "notes"))
+
+
+def _items(spark: SparkSession, root: str) -> DataFrame:
+    """Sections and chunks as items, repeated rows once."""
+    s = table(spark, root, "sections").select(F.lit("section").alias("item"), F.col("section_id").alias("item_id"), "line", "body")
+    c = table(spark, root, "chunks").select(F.lit("chunk").alias("item"), F.col("chunk_id").alias("item_id"), "line", "body")
+    return s.unionByName(c)
+
+
+def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Every piece of the items over the limit."""
+    return split.pieces(_items(spark, root)).where("n_pieces > 1").dropDuplicates(["item", "item_id", "piece"])
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return split.pieces(_items(spark, root)).where("n_pieces > 1 and piece = 1").select("item", "item_id").distinct()
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return contamination.leaks(contamination.matches(table(spark, root, "documents"), table(spark, root, "eval_items")))
+
+
+def p6_reparameterised(spark: SparkSession, root: str) -> DataFrame:
+    from notarium.runtime import cut
+
+    return contamination.reparameterised(cut(contamination.matches(table(spark, root, "documents"), table(spark, root, "eval_items"))))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncated.truncated(table(spark, root, "documents")).where("cut").select(F.col("id").alias("doc_id"))
 
@@ -34,5 +64,5 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncated.rates(truncated.truncated(table(spark, root, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_reparameterised": p6_reparameterised, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}
