@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import contamination, near_dup, pairs, split, truncated
-from notarium.runtime import table
+from notarium.llm import contamination, frequency, mixing, near_dup, pairs, split, truncated
+from notarium.runtime import cut, table
 
 BODY = near_dup.Similarity(kind="words", width=3, least=40, threshold=0.5)
 TITLE = near_dup.Similarity(kind="chars", width=3, threshold=0.5)
@@ -46,16 +46,30 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return split.pieces(_items(spark, root)).where("n_pieces > 1 and piece = 1").select("item", "item_id").distinct()
 
 
+def p5_counts(spark: SparkSession, root: str) -> DataFrame:
+    return frequency.term_marks(table(spark, root, "postings"), table(spark, root, "chunks"), table(spark, root, "notes"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return p5_counts(spark, root).where("mark is not null")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return contamination.leaks(contamination.matches(table(spark, root, "documents"), table(spark, root, "eval_items")))
 
 
 def p6_reparameterised(spark: SparkSession, root: str) -> DataFrame:
-    from notarium.runtime import cut
-
     return contamination.reparameterised(cut(contamination.matches(table(spark, root, "documents"), table(spark, root, "eval_items"))))
 
 
+def p7_selected(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixed(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0].select(F.col("id").alias("doc_id"), "source", "n_tokens", "n_uses")
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixed(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncated.truncated(table(spark, root, "documents")).where("cut").select(F.col("id").alias("doc_id"))
 
@@ -64,5 +78,8 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncated.rates(truncated.truncated(table(spark, root, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_reparameterised": p6_reparameterised, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_reparameterised, p7_selected, p7_shares, p8_found, p8_rates)
+}
 SQL: dict[str, str] = {}
