@@ -13,6 +13,8 @@ from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space, as stripped from lines and values.
 BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -171,17 +173,21 @@ _TYPES = [
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lo in range(0, len(paths), 256):
-            some = [parse(p or "", t or "") for p, t in zip(paths[lo : lo + 256], texts[lo : lo + 256], strict=True)]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            paths = batch.column(0).to_pylist()
+            some = [parse(p or "", t or "") for p, t in zip(paths, batch.column(1).to_pylist(), strict=True)]
             columns = [
-                paths[lo : lo + 256], [x["title"] for x in some], [x["meta"] for x in some], [x["headings"] for x in some], [x["lead"] for x in some],
+                paths, [x["title"] for x in some], [x["meta"] for x in some], [x["headings"] for x in some], [x["lead"] for x in some],
                 [[{"breadcrumb": b, "line": n, "body": t} for b, n, t in x["sections"]] for x in some],
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=["path", "title", "meta", "headings", "lead", "sections"])
+            kept = [batch.column(k) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)), *kept], names=["path", "title", "meta", "headings", "lead", "sections", *batch.schema.names[2:]])
 
 
-def parsed(notes: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, title, meta, headings, lead, sections) of each note, row by row; a null text counts as empty."""
-    return notes.selectExpr(f"`{path_col}` AS path", f"`{text_col}` AS text").mapInArrow(_parsed, SCHEMA)
+def parsed(notes: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, title, meta, headings, lead, sections) and the columns ``keep`` of each note, row by row; a null text counts as empty."""
+    given = notes.select(F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("text"), *keep)
+    schema = T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *given.select(*keep).schema.fields]) if keep else SCHEMA
+    return given.mapInArrow(_parsed, schema)

@@ -90,7 +90,7 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 
 def notes_and_sections(texts: DataFrame) -> DataFrame:
     """``texts`` (path, hash, mtime, text) parsed, with summary and sum_hash still null."""
-    return parsed(texts).join(texts.drop("text"), "path").select("path", "hash", "mtime", "title", "meta", "headings", "lead", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("sum_hash"), "sections")
+    return parsed(texts, keep=("hash", "mtime")).select("path", "hash", "mtime", "title", "meta", "headings", "lead", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("sum_hash"), "sections")
 
 
 def numbered(sections: DataFrame, after: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ counted, not sorted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +26,8 @@ from notarium.runtime import cut
 #: Fixed values of the ranking formulas.
 K1, B, RRF = 1.2, 0.75, 60
 BROADCAST_TERMS = 200_000
+#: Up to so many terms are named in a predicate.
+FEW_TERMS = 500
 #: Scores are compared to so many decimals, so that the order of additions can't decide.
 DECIMALS = 9
 
@@ -69,18 +71,28 @@ def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
     return _table(spark, [(q, i, t) for q, text in queries.items() for i, t in enumerate(terms.tokenize(text))], "query_id bigint, pos int, term string")
 
 
-def _posted(index: Index, wanted: DataFrame) -> DataFrame:
-    """The postings of the wanted terms, and for few of them the same as a predicate that prunes row groups."""
-    own = [r.term for r in wanted.select("term").distinct().limit(501).collect()]
+def _posted(index: Index, wanted: set[str]) -> DataFrame:
+    """The postings of the wanted terms; for few of them by a predicate that prunes row groups."""
     p = index.postings
-    return p.where(F.col("term").isin(*own)) if len(own) <= 500 else p.join(wanted.select("term").distinct(), "term", "left_semi")
+    if len(wanted) <= FEW_TERMS:
+        return p.where(F.col("term").isin(*sorted(wanted)))
+    return p.join(_table(p.sparkSession, [(t,) for t in sorted(wanted)], "term string"), "term", "left_semi")
+
+
+def _own_terms(queries: dict[int, str]) -> set[str]:
+    return {t for text in queries.values() for t in terms.tokenize(text)}
+
+
+def _literal_rows(queries: dict[int, str]) -> list[tuple[int, int, str, int, str]]:
+    """(query, number of the literal, literal, place of the token, token); queries without any term look up nothing."""
+    return [(q, n, lit, i, t) for q, text in queries.items() if terms.tokenize(text) for n, lit in enumerate(terms.literal_terms(text)) for i, t in enumerate(terms.tokenize(lit))]
 
 
 def bm25(index: Index, queries: dict[int, str], live: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all live chunks with a term of the query."""
     spark = index.postings.sparkSession
     q = query_terms(spark, queries)
-    p = _posted(index, q)
+    p = _posted(index, _own_terms(queries))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     totals = F.broadcast(index.corpus_stats.select("n_chunks", "avg_len"))  # one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -100,9 +112,9 @@ def literal_candidates(index: Index, queries: dict[int, str]) -> DataFrame:
     A term that is part of a longer word only has a token that needn't exist, and then no candidates.
     """
     spark = index.postings.sparkSession
-    rows = [(q, n, lit, i, t) for q, text in queries.items() if terms.tokenize(text) for n, lit in enumerate(terms.literal_terms(text)) for i, t in enumerate(terms.tokenize(lit))]
+    rows = _literal_rows(queries)
     wanted = _table(spark, rows, "query_id bigint, n int, literal string, pos int, term string")
-    df = _posted(index, wanted).groupBy("term").agg(F.count("*").alias("df"))
+    df = _posted(index, {r[-1] for r in rows}).groupBy("term").agg(F.count("*").alias("df"))
     each = wanted.join(df, "term", "left").groupBy("query_id", "n", "literal")
     best = each.agg(F.min_by("term", F.struct("df", "pos")).alias("token"), F.count_if(F.col("df").isNull()).alias("absent"))
     return best.where("absent = 0").select("query_id", "n", "literal", "token")
@@ -111,7 +123,7 @@ def literal_candidates(index: Index, queries: dict[int, str]) -> DataFrame:
 def literal(index: Index, queries: dict[int, str], live: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): occurrences of the literal terms in body, breadcrumb and path, weighted by their bytes."""
     best = literal_candidates(index, queries)
-    p = _posted(index, best.select(F.col("token").alias("term")))
+    p = _posted(index, {r[-1] for r in _literal_rows(queries)})
     at = p.join(best, p["term"] == best["token"]).select("query_id", "n", "literal", "chunk_id").join(live.select("chunk_id"), "chunk_id", "left_semi")
     c = at.join(index.chunks.select("chunk_id", "path", "breadcrumb", "body"), "chunk_id")
     n = sum((tx.count_fold(F.coalesce(F.col(k), F.lit("")), F.col("literal")) for k in ("body", "breadcrumb", "path")), F.lit(0))
@@ -158,6 +170,8 @@ def search_many(index: Index, queries: dict[int, str], filters: Filters | None =
     hits that are left only.
     """
     spark = index.postings.sparkSession
+    wanted = _own_terms(queries) | {r[-1] for r in _literal_rows(queries)}
+    index = replace(index, postings=cut(_posted(index, wanted)))  # read once; all that follows is about these terms
     live = live_chunks(index, filters)
     hits = fused(bm25(index, queries, live), literal(index, queries, live), k)
     asked = _table(spark, [(q, text, terms.tokenize(text)) for q, text in queries.items()], "query_id bigint, query string, terms array<string>")
