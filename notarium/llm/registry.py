@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import contamination, frequency, mixing, near_dup, pairs, split, truncated
+from notarium.llm import contamination, frequency, mixing, near_dup, pairs, reference_sql, split, truncated
 from notarium.runtime import cut, table
 
 BODY = near_dup.Similarity(kind="words", width=3, least=40, threshold=0.5)
@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p1_found, p1_groups, p2_found, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_reparameterised, p7_selected, p7_shares, p8_found, p8_rates)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = reference_sql.SQL
