@@ -39,6 +39,11 @@ _DROPPED = "*_\"'“”‘’«»"
 FLUSH = 400_000
 
 
+def without_marks(body: str) -> str:
+    """``body`` without the marks at its end; they are looked for in its last characters only."""
+    return body[:-256] + MARKS.sub("", body[-256:])
+
+
 def language_key(lang: Column) -> Column:
     """The first two letters of a language tag, lower-cased; ``xx`` without one."""
     return F.coalesce(F.nullif(F.lower(F.substring(F.trim(lang), 1, 2)), F.lit("")), F.lit("xx"))
@@ -54,7 +59,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = _WORD.findall(MARKS.sub("", text.rstrip()).lower())
+            words = _WORD.findall(without_marks(text.rstrip()).lower())
             # the last word may be a piece of one
             counts[lang].update(words[:-1])
         if sum(map(len, counts.values())) > FLUSH:
@@ -168,7 +173,7 @@ def _outlined(kept: frozenset[str]):
             rows = []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 body = text.rstrip()
-                short = MARKS.sub("", body)
+                short = without_marks(body)
                 parts, state = paragraphs(short)
                 last = ""
                 for k, p in enumerate(parts):

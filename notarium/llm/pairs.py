@@ -10,8 +10,10 @@ that order; the first one counts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import pairwise
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,7 @@ REFUSALS = (
     r"^\W*désolée?\b|\bje (ne (peux|suis|saurais|puis|veux)|dois (refuser|décliner)|refuse|regrette|suis désolée?|suis (incapable|dans l['’]impossibilité))|\bdois refuser\b|\bil m['’]est (impossible|interdit|défendu)\b|en tant que modèle",
     r"\blo siento\b|\b(no (puedo|podré|podría|estoy autorizad\w|se me permite|me está permitido|me es posible))\b|^\W*(lamento|lamentablemente|por desgracia|me temo)\b|\bme (es|resulta) imposible\b|\bdebo (rechazar|negarme|declinar|decir que no)\b|\btengo que (rechazar|negarme|declinar|decir que no)\b|como modelo de lenguaje",
 )
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _QUOTED = r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|`[^`]*`|‘[^’]*’"
 
 
@@ -74,19 +77,27 @@ def refuses(text: Column) -> Column:
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, share): of the answer's sentence that is least taken from the lead, the share of words in pairs of neighbours that the lead has too."""
     for batch in batches:
-        share = []
+        shares = []
         for lead, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            a, b = wd.split(lead), wd.split(answer)
-            same = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-            share.append(same / len(b) if b else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share)], names=["id", "share"])
-
-
-def copies(pairs: DataFrame, covered: float = 0.8, shared: float = 0.5) -> DataFrame:
-    """(id) of ``pairs`` (id, lead, answer) of whose answer ``covered`` of the words follow the lead, in order.
-
-    Only answers that share ``shared`` of their different words with the lead are aligned word by word.
+            a = wd.split(lead)
+            known, least = set(pairwise(a)), None
+            for words in filter(lambda w: len(w) > 2, map(wd.split, _SENTENCES.split(answer))):
+                hits = [p in known for p in pairwise(words)]
+                share = sum(map(or_, [False, *hits], [*hits, False])) / len(words)
+                least = share if least is None else min(least, share)
+            shares.append(least or 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["id", "share"])
+
+
+def copies(pairs: DataFrame, covered: float = 0.65, shared: float = 0.5) -> DataFrame:
+    """(id) of ``pairs`` (id, lead, answer) whose answer is nothing but sentences of the lead.
+
+    Of each sentence of three or more words, ``covered`` of the words must stand
+    beside the same neighbour in the lead, so that typing errors don't matter.
+    Only answers that share ``shared`` of their different words with the lead
+    are looked at; the work is linear in the texts.
     """
     bag = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1))
     x = pairs.withColumn("a", bag("lead")).withColumn("b", bag("answer")).where(F.size("b") > 0).where(F.size(F.array_intersect("a", "b")) >= shared * F.size("b"))
@@ -119,7 +130,7 @@ def shortened(answers: DataFrame) -> DataFrame:
     return seen.where("part is null").select("text").unionByName(edges.where(F.expr("next <> text and startswith(next, text)")).select("text")).distinct()
 
 
-def defects(notes: DataFrame, covered: float = 0.8) -> DataFrame:
+def defects(notes: DataFrame, covered: float = 0.65) -> DataFrame:
     """(note_id, defect) for each note with a summary made (``sum_hash`` not null) that is defective, the first defect only.
 
     ``notes`` needs note_id, lead, summary and sum_hash; other columns are
