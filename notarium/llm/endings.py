@@ -120,7 +120,7 @@ def paragraphs(text: str) -> tuple[list[str], str]:
     if lines and lines[0].strip() == "---":
         start = next((k + 1 for k in range(1, len(lines)) if lines[k].strip() == "---"), 0)
     out: list[list[str]] = []
-    fence, state, fresh, cells = "", "", True, 0
+    fence, state, fresh, cells, quoted = "", "", True, 0, False
     for line in lines[start:]:
         s = line.strip()
         mark = s[:3]
@@ -143,7 +143,9 @@ def paragraphs(text: str) -> tuple[list[str], str]:
         else:
             state = ""
             item = _ITEM.match(s)
-            if s[0] == ">":
+            fresh = fresh or quoted != (s[0] == ">")
+            quoted = s[0] == ">"
+            if quoted:
                 s = s.lstrip("> ")
             if item:
                 s = s[item.end() :]

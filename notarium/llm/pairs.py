@@ -13,14 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import pairwise
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.llm import words as wd
-from notarium.llm.endings import MARKS, judged
+from notarium.llm.endings import judged
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -77,15 +76,19 @@ def refuses(text: Column) -> Column:
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, share): of the answer's sentence that is least taken from the lead, the share of words in pairs of neighbours that the lead has too."""
+    """(id, share): of the answer's sentence that is least taken from the lead, the share of words in pairs, of neighbours or with one word between, that the lead has too."""
     for batch in batches:
         shares = []
         for lead, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             a = wd.split(lead)
-            known, least = set(pairwise(a)), None
+            near, far, least = set(pairwise(a)), set(zip(a, a[2:], strict=False)), None
             for words in filter(lambda w: len(w) > 2, map(wd.split, _SENTENCES.split(answer))):
-                hits = [p in known for p in pairwise(words)]
-                share = sum(map(or_, [False, *hits], [*hits, False])) / len(words)
+                kept = [False] * len(words)
+                for gap, known in ((1, near), (2, far)):
+                    for k, pair in enumerate(zip(words, words[gap:], strict=False)):
+                        if pair in known:
+                            kept[k] = kept[k + gap] = True
+                share = sum(kept) / len(words)
                 least = share if least is None else min(least, share)
             shares.append(least or 0.0)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["id", "share"])
@@ -95,7 +98,8 @@ def copies(pairs: DataFrame, covered: float = 0.65, shared: float = 0.5) -> Data
     """(id) of ``pairs`` (id, lead, answer) whose answer is nothing but sentences of the lead.
 
     Of each sentence of three or more words, ``covered`` of the words must stand
-    beside the same neighbour in the lead, so that typing errors don't matter.
+    next or next but one to the same word in the lead, so that typing errors
+    don't matter.
     Only answers that share ``shared`` of their different words with the lead
     are looked at; the work is linear in the texts.
     """
@@ -104,15 +108,20 @@ def copies(pairs: DataFrame, covered: float = 0.65, shared: float = 0.5) -> Data
     return x.select("id", "lead", "answer").mapInArrow(_covered, "id bigint, share double").where(F.col("share") >= covered).select("id")
 
 
+def _shortens(a: str, b: str) -> bool:
+    """Whether ``b`` goes on where ``a`` stops, and not with the end of its sentence."""
+    return b.startswith(a) and b[len(a)] not in ".!?…"
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted stream (part, text): the texts the next different one starts with, and the first and last text of the stream."""
+    """Of a sorted stream (part, text): the texts that the next different one goes on from, and the first and last text of the stream."""
     first = last = part = None
     cuts: list[str] = []
     for batch in batches:
         for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if first is None:
                 first, part = t, p
-            elif t != last and t.startswith(last):
+            elif t != last and _shortens(last, t):
                 cuts.append(last)
             last = t
         if cuts:
@@ -127,7 +136,7 @@ def shortened(answers: DataFrame) -> DataFrame:
     sorted_ = answers.distinct().repartitionByRange("text").sortWithinPartitions("text").select(F.spark_partition_id().alias("part"), "text")
     seen = sorted_.mapInArrow(_neighbours, "part int, text string, first string")
     edges = seen.where("part is not null").withColumn("next", F.lead("first").over(Window.orderBy("part")))
-    return seen.where("part is null").select("text").unionByName(edges.where(F.expr("next <> text and startswith(next, text)")).select("text")).distinct()
+    return seen.where("part is null").select("text").unionByName(edges.where(F.expr("next <> text and startswith(next, text) and not substring(next, length(text) + 1, 1) in ('.', '!', '?', '…')")).select("text")).distinct()
 
 
 def defects(notes: DataFrame, covered: float = 0.65) -> DataFrame:
@@ -146,7 +155,7 @@ def defects(notes: DataFrame, covered: float = 0.65) -> DataFrame:
         said.where("lead is not null").select((F.col("id") * 2 + 1).alias("id"), F.col("lead").alias("text"), theirs.alias("lang"), F.lit("lead").alias("source"))
     )
     ended = judged(texts).where("source = 'answer'").select(F.shiftright("id", 1).alias("id"), "cut", "how")
-    bare = F.rtrim(F.regexp_replace("answer", MARKS.pattern.replace("�", "\\ufffd"), ""))
+    bare = F.regexp_replace("answer", r"[^\p{L}\p{N}]+\z", "")
     short = said.select("id", bare.alias("text"))
     short = short.join(shortened(short.select("text")), "text", "left_semi").select("id", F.lit(True).alias("shortened"))
     copied = copies(said.where("lead is not null").select("id", "lead", "answer"), covered).distinct().withColumn("copied", F.lit(True))

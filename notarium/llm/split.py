@@ -4,7 +4,8 @@ One regular expression with bounded quantifiers takes an item apart: its
 alternatives, ordered by the strength of the boundary they end at, each consume
 as much as fits, and the last one falls back to characters. The offset of a
 piece is the sum of the lengths before it; the overlap is looked back from
-there, to the earliest boundary of the strongest kind within reach. Everything
+there into the piece before, to the earliest boundary of the strongest kind
+within reach. Everything
 is array functions over one row, so nothing is shuffled.
 """
 
@@ -47,30 +48,34 @@ def pieces(items: DataFrame, body_col: str = "body", line_col: str | None = "lin
     room = limit - overlap
     added = ["piece", "n_pieces", "start", "line_start", "shared", "text"]
     keep = [F.col(f"`{c}`") for c in items.columns if c != body_col and c not in added]
-    b, t = F.col(f"`{body_col}`"), F.col("`\x02t`")
-    x = items.withColumn("\x02t", trimmed(b)).where(F.length(t) > 0)
-    over = F.length(t) > limit
-    # the first piece has no overlap, but the same room, so that equal texts are cut alike
-    cores = F.when(over, F.regexp_extract_all(t, F.lit(taker(room)), F.lit(0))).otherwise(F.array(t))
-    ends = F.aggregate(F.transform("`\x02cores`", F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    x = x.withColumn("\x02cores", cores).withColumn("\x02ends", ends)
-    blanks = F.length(F.regexp_replace(F.regexp_extract(F.regexp_replace(b, "\r\n", "\n"), r"\A((?: *\n)+)", 1), " ", ""))
+    own = lambda name: F.col(f"`\x02{name}`")
+    lf = F.regexp_replace(F.col(f"`{body_col}`"), "\r\n", "\n")
     first = F.when(F.col(f"`{line_col}`") >= 1, F.col(f"`{line_col}`")) if line_col else F.lit(None).cast("int")
-    x = x.select(*keep, t, F.col("`\x02ends`"), blanks.alias("\x02blank"), first.alias("\x02line"), F.posexplode("`\x02cores`").alias("\x02k", "\x02core"))
-    k = F.col("`\x02k`")
-    at = F.element_at("`\x02ends`", k + 1)
-    back = F.when((k > 0) & F.lit(overlap > 0), F.substring(t, F.greatest(at - overlap + 1, F.lit(1)), F.least(at, F.lit(overlap)))).otherwise("")
-    x = x.withColumn("\x02shared", F.length(_overlap(back)))
-    begin = at - F.col("`\x02shared`")
-    lines = F.length(F.substring(t, F.lit(1), begin)) - F.length(F.replace(F.substring(t, F.lit(1), begin), F.lit("\n"), F.lit("")))
+    x = items.select(*keep, trimmed(F.col(f"`{body_col}`")).alias("\x02t"), _newlines(F.regexp_extract(lf, r"\A((?: *\n)+)", 1)).alias("\x02blank"), first.alias("\x02line")).where(F.length(own("t")) > 0)
+    # the first piece has no overlap, but the same room, so that equal texts are cut alike
+    cores = F.when(F.length(own("t")) > limit, F.regexp_extract_all(own("t"), F.lit(taker(room)), F.lit(0))).otherwise(F.array(own("t")))
+    x = x.withColumn("\x02c", cores).drop("\x02t")
+    size = lambda c: F.struct(F.length(c).alias("n"), _newlines(c).alias("lines"))
+    step = lambda acc, s: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["n"] + s["n"]).alias("n"), (F.element_at(acc, -1)["lines"] + s["lines"]).alias("lines"))))
+    before = F.aggregate(F.transform(own("c"), size), F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"))), step)
+    previous = F.concat(F.array(F.lit("")), F.slice(own("c"), F.lit(1), F.size(own("c")) - 1))
+    zipped = F.arrays_zip(own("c").alias("core"), previous.alias("previous"), F.slice(before, F.lit(1), F.size(own("c"))).alias("at"))
+    x = x.select(*keep, own("blank"), own("line"), F.size(own("c")).alias("\x02n"), F.posexplode(zipped).alias("\x02k", "\x02p"))
+    piece = lambda f: F.col(f"`\x02p`.{f}")
+    x = x.withColumn("\x02s", _overlap(F.when(F.lit(overlap > 0), F.expr(f"right(`\x02p`.previous, {max(overlap, 1)})")).otherwise("")))
+    shared = own("s")
     return x.select(
         *keep,
-        (k + 1).alias("piece"), (F.size("`\x02ends`") - 1).alias("n_pieces"), begin.alias("start"),
-        (F.col("`\x02line`") + F.col("`\x02blank`") + lines).cast("int").alias("line_start"), F.col("`\x02shared`").alias("shared"),
-        F.substring(t, begin + 1, F.col("`\x02shared`") + F.length("`\x02core`")).alias("text"),
+        (own("k") + 1).alias("piece"), own("n").alias("n_pieces"), (piece("at.n") - F.length(shared)).alias("start"),
+        (own("line") + own("blank") + piece("at.lines") - _newlines(shared)).cast("int").alias("line_start"), F.length(shared).alias("shared"),
+        F.concat(shared, piece("core")).alias("text"),
     )
 
 
+def _newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
 def _overlap(back: Column) -> Column:
     """The part of ``back`` after its first boundary of the strongest kind that it has; all of it if it has none."""
     after = [F.regexp_extract(back, rf"(?s){b}(?!\A)(.+)\z", 1) for b in BOUNDARIES]
