@@ -51,7 +51,8 @@ def is_hex(c: Column) -> Column:
 
 
 def camel_split(c: Column) -> Column:
-    return F.split(c, CAMEL)
+    """Words of an identifier without blanks. ``split`` would compile the pattern for each value; ``regexp_replace`` keeps it."""
+    return F.split(F.regexp_replace(c, CAMEL, " "), " ")
 
 
 def snake_split(c: Column) -> Column:
@@ -61,18 +62,17 @@ def snake_split(c: Column) -> Column:
 def subwords(token: Column) -> Column:
     """Lower-cased parts of an identifier, those of one rune and the whole token left out."""
     parts = F.transform(F.flatten(F.transform(snake_split(token), camel_split)), lower)
-    return F.filter(parts, lambda x: (x != lower(token)) & (F.length(x) > 1))
+    return F.filter(F.array_remove(parts, lower(token)), lambda x: F.length(x) > 1)
 
 
-def _first_ending(w: Column, endings: list[str]) -> Column:
-    fits = F.filter(F.array(*[F.lit(e) for e in endings]), lambda e: F.endswith(w, e) & (F.length(w) - F.length(e) >= STEM_LEAST))
-    return F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0))
+def _stemmer(endings: list[str]) -> str:
+    """The shortest start of four or more runes that an ending completes. No ending in the list ends a later one, so that is the first one that fits."""
+    return rf"^(.{{{STEM_LEAST},}}?)(?:{'|'.join(endings)})$"
 
 
 def stem(w: Column) -> Column:
     """Without the first ending that fits and leaves four runes; words of under five runes stay."""
-    cut = F.when(F.length(w) <= STEM_LEAST, F.lit(0)).when(w.rlike("^[а-яё]"), _first_ending(w, RU_ENDINGS)).otherwise(_first_ending(w, EN_ENDINGS))
-    return F.substring(w, F.lit(1), F.length(w) - cut)
+    return F.when(w.rlike("^[а-яё]"), F.regexp_replace(w, _stemmer(RU_ENDINGS), "$1")).otherwise(F.regexp_replace(w, _stemmer(EN_ENDINGS), "$1"))
 
 
 def prefix_key(w: Column) -> Column:

@@ -84,3 +84,8 @@ def test_globs(spark):
     assert hits("[a-i]*.md") == ["a.md", "ab.md"]
     assert hits("[") == []
     assert hits("INDEX.md") == ["INDEX.md"]
+
+
+def test_no_ending_hides_a_later_one():
+    for endings, n in ((tx.RU_ENDINGS, 43), (tx.EN_ENDINGS, 7)):
+        assert len(endings) == n and not [(a, b) for k, b in enumerate(endings) for a in endings[:k] if b.endswith(a)]
