@@ -104,8 +104,10 @@ def _signer(shingler, bands: int, rows: int, seed: int):
                 x = h.astype(np.uint32) ^ ((h >> np.uint64(32)).astype(np.uint32) * np.uint32(0x85EBCA6B))
                 keys = np.zeros((bands, len(at)), np.uint64)
                 bits = np.zeros((longs, len(at)), np.uint64)
+                hashed = np.empty_like(x)
                 for k in range(bands * rows):
-                    m = np.minimum.reduceat(x * a[k] + b[k], at)
+                    np.add(np.multiply(x, a[k], out=hashed), b[k], out=hashed)
+                    m = np.minimum.reduceat(hashed, at)
                     keys[k // rows] = mix64(keys[k // rows] * _GOLD + m + np.uint64(k // rows + 1))
                     if k < longs * 64:
                         bits[k // 64] |= ((m >> np.uint32(12)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
