@@ -30,6 +30,8 @@ from notarium.llm import words as wd
 from notarium.runtime import cut
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Shingle sets that a task remembers, to leave out the bands of their copies.
+REMEMBERED = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -87,11 +89,15 @@ def _family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signer(shingler, bands: int, rows: int, seed: int):
-    """(id, node, n, bits, keys): node is the hash of a record's shingle set, n its size, keys one 48-bit key a band."""
+    """(id, node, n, bits, keys, fresh): node is the hash of a record's shingle set, n its size, keys one 48-bit key a band.
+
+    ``fresh`` is false for copies of a set that the task has met before.
+    """
     a, b = _family(bands * rows, seed)
     longs = bands * rows // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 512):
@@ -112,9 +118,15 @@ def _signer(shingler, bands: int, rows: int, seed: int):
                     if k < longs * 64:
                         bits[k // 64] |= ((m >> np.uint32(12)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
                 node = mix64(np.add.reduceat(mix64(h + _GOLD), at) ^ mix64(np.bitwise_xor.reduceat(mix64(h ^ _GOLD), at)))
+                fresh = []
+                for one in node.tolist():
+                    fresh.append(one not in met)
+                    met.add(one)
+                if len(met) > REMEMBERED:
+                    met.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo : lo + 512][has], pa.int64()), pa.array(node.view(np.int64)), pa.array(sizes[has].astype(np.int32)), _lists(bits), _lists(keys >> np.uint64(16))],
-                    names=["id", "node", "n", "bits", "keys"],
+                    [pa.array(ids[lo : lo + 512][has], pa.int64()), pa.array(node.view(np.int64)), pa.array(sizes[has].astype(np.int32)), _lists(bits), _lists(keys >> np.uint64(16)), pa.array(fresh)],
+                    names=["id", "node", "n", "bits", "keys", "fresh"],
                 )
 
     return run
@@ -137,30 +149,8 @@ def _shingled(shingler):
     return run
 
 
-def _once(limit: int = 1_000_000):
-    """Band rows (key, node); copies of a set that this task has met are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            new = np.zeros(len(node), bool)
-            for k, x in enumerate(node.tolist()):
-                if x not in met:
-                    if len(met) >= limit:
-                        met.clear()
-                    met.add(x)
-                    new[k] = True
-            if new.any():
-                lists = batch.column(1).filter(pa.array(new))
-                width = len(lists.flatten()) // len(lists)
-                yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(node[new], width))], names=["key", "node"])
-
-    return run
-
-
 def _pairing(cap: int):
-    """Pairs of a stream sorted by (key, node). Nodes of a key that more than ``cap`` nodes hold come out without a partner."""
+    """Pairs of a stream sorted by key. Nodes of a key that more than ``cap`` nodes hold come out without a partner."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], names=["a", "b"])
@@ -193,6 +183,8 @@ def _pairing(cap: int):
             if len(held):
                 key, node = np.concatenate([np.full(len(held), key[0]), key]), np.concatenate([held, node])
             if len(key) > 1:  # the same node may come from several tasks
+                order = np.lexsort((node, key))
+                key, node = key[order], node[order]
                 new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
                 key, node = key[new], node[new]
             edges = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -252,9 +244,9 @@ def _crowded(crowd: DataFrame, sets: DataFrame, spec: Similarity) -> DataFrame:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, spec: Similarity) -> DataFrame:
-    """(id, node, n, bits, keys) of every record with at least one shingle; null ids and texts are left out."""
+    """(id, node, n, bits, keys, fresh) of every record with at least one shingle; null ids and texts are left out."""
     x = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    return x.mapInArrow(_signer(spec.shingler(), spec.bands, spec.rows, spec.seed), "id bigint, node bigint, n int, bits array<bigint>, keys array<bigint>")
+    return x.mapInArrow(_signer(spec.shingler(), spec.bands, spec.rows, spec.seed), "id bigint, node bigint, n int, bits array<bigint>, keys array<bigint>, fresh boolean")
 
 
 def class_links(df: DataFrame, id_col: str, text_col: str, spec: Similarity) -> tuple[DataFrame, DataFrame]:
@@ -266,8 +258,8 @@ def class_links(df: DataFrame, id_col: str, text_col: str, spec: Similarity) ->
     """
     signed = signatures(df, id_col, text_col, spec).persist(StorageLevel.MEMORY_AND_DISK)
     members = signed.select("node", "id").distinct()
-    bands = signed.select("node", "keys").mapInArrow(_once(), "key bigint, node bigint")
-    met = bands.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairing(spec.bucket_cap), "a bigint, b bigint").distinct()
+    bands = signed.where("fresh").select(F.explode("keys").alias("key"), "node")
+    met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_pairing(spec.bucket_cap), "a bigint, b bigint").distinct()
     met = cut(met)
     pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crowd = met.where("b is null").select(F.col("a").alias("node"))
