@@ -263,30 +263,33 @@ def class_links(df: DataFrame, id_col: str, text_col: str, spec: Similarity) ->
     met = cut(met)
     pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crowd = met.where("b is null").select(F.col("a").alias("node"))
-    sketch = signed.groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"), F.min("id").alias("id"))
     longs = spec.bands * spec.rows // 64
+    words = [f"w{k}" for k in range(longs)]  # one column a word, so that the aggregation hashes instead of sorting
+    wide = signed.select("node", "n", "id", *[F.get("bits", F.lit(k)).alias(w) for k, w in enumerate(words)])
+    sketch = wide.groupBy("node").agg(*[F.first(w).alias(w) for w in words], F.first("n").alias("n"), F.min("id").alias("id"))
     hashes, agree = longs * 64, (1 + spec.threshold) / 2
     off = int(hashes * (1 - agree + 4.5 * math.sqrt(agree * (1 - agree) / hashes)))
     l, r = sketch.select(*[F.col(c).alias(f"{c}_a") for c in sketch.columns]), sketch.select(*[F.col(c).alias(f"{c}_b") for c in sketch.columns])
     close = pairs.join(l, F.col("a") == F.col("node_a")).join(r, F.col("b") == F.col("node_b"))
     close = close.where(F.expr(f"least(n_a, n_b) >= {spec.threshold} * greatest(n_a, n_b)"))
-    close = close.where(sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(longs)), F.lit(0)) <= off)
+    close = close.where(sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0)) <= off)
     close = cut(close.select("a", "b", "id_a", "id_b"))
     text = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return text.join(_sized(ids, spec.broadcast_rows), "id", "left_semi").mapInArrow(_shingled(spec.shingler()), "id bigint, h array<bigint>").dropDuplicates(["id"])
+        return text.join(_sized(ids, spec.broadcast_rows), "id", "left_semi").mapInArrow(_shingled(spec.shingler()), "id bigint, h array<bigint>")
 
     if not crowd.isEmpty():
         apart = sketch.join(crowd, "node", "left_semi").select("node", "id")
-        more = _crowded(crowd, sets_of(apart.select("id")).join(apart, "id").select("node", "h"), spec)
+        more = _crowded(crowd, sets_of(apart.select("id")).dropDuplicates(["id"]).join(apart, "id").select("node", "h"), spec)
         ids = sketch.select("node", "id")
         more = more.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b").select("a", "b", "id_a", "id_b")
         close = cut(close.unionByName(more).distinct())
     sets = sets_of(close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
     both = close.join(sets.toDF("id_a", "h_a"), "id_a").join(sets.toDF("id_b", "h_b"), "id_b")
     both = both.select("a", "b", F.size("h_a").alias("x"), F.size("h_b").alias("y"), F.size(F.array_intersect("h_a", "h_b")).alias("z"))
-    return members, both.select("a", "b", F.expr("z / (x + y - z)").alias("similarity")).where(F.col("similarity") >= spec.threshold)
+    linked = both.select("a", "b", F.expr("z / (x + y - z)").alias("similarity")).where(F.col("similarity") >= spec.threshold)
+    return members, linked.distinct()  # repeated rows bring their shingles twice
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
