@@ -54,16 +54,13 @@ def language(text: Column) -> Column:
     """The key of ``FUNCTION_WORDS`` with most words in ``text``; without any, ru for Cyrillic letters, else null."""
     plain = F.lower(F.regexp_replace(text, r"`[^`]*`", " "))
     found = F.regexp_extract_all(plain, F.lit(r"(\p{L}+)"), 1)
-    votes = []
-    for k, listed in FUNCTION_WORDS.items():
-        own = F.array(*[F.lit(w) for w in sorted(set(listed.split()))])
-        votes.append(F.struct(F.size(_members(found, own)).alias("n"), F.lit(k).alias("lang")))
+    votes = [F.struct(F.size(_members(found, listed.split())).alias("n"), F.lit(k).alias("lang")) for k, listed in FUNCTION_WORDS.items()]
     best = F.array_max(F.array(*votes))
     return F.when(best["n"] > 0, best["lang"]).when(plain.rlike("[а-яё]"), "ru")
 
 
-def _members(found: Column, own: Column) -> Column:
-    return F.filter(found, lambda w: F.array_contains(own, w))
+def _members(found: Column, own: list[str]) -> Column:
+    return F.filter(found, lambda w: w.isin(*own))
 
 
 def refuses(text: Column) -> Column:
