@@ -30,8 +30,11 @@ def inputs(notes: DataFrame, chunks: DataFrame, most: int = MOST_BYTES) -> DataF
     head = F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("lead", F.lit("")), F.array_join(F.coalesce("headings", F.array().cast("array<string>")), "\n"))
     n = notes.select("path", head.alias("head"))
     part = F.concat(F.lit("\n\n"), F.coalesce("breadcrumb", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
-    c = chunks.select("path", "ord", "chunk_id", part.alias("part")).join(n, "path")
-    so_far = F.coalesce(F.sum(F.octet_length("part")).over(Window.partitionBy("path").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a part has three bytes at least, so the first ones suffice; a grouped limit keeps them before the shuffle
+    order = Window.partitionBy("path").orderBy("chunk_id")
+    first = chunks.select("path", "chunk_id", part.alias("part")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most // 3 + 2)
+    c = first.drop("n").join(n, "path")
+    so_far = F.coalesce(F.sum(F.octet_length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = c.withColumn("before", F.octet_length("head") + so_far).where(F.col("before") <= most)
     body = kept.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "part"))), lambda x: x["part"]), "").alias("body"))
     return n.join(body, "path", "left").select("path", F.concat("head", F.coalesce("body", F.lit(""))).alias("text"))

@@ -153,7 +153,7 @@ def fused(bm: DataFrame, lit: DataFrame, k: int) -> DataFrame:
     if k > 0:
         bm, lit = cut(bm), cut(lit)
         most = RRF + 2 * k
-        top_b, top_l = cut(ranked(bm, most)), cut(ranked(lit, most))
+        top_b, top_l = ranked(bm, most), ranked(lit, most)
         wanted = top_b.select(*keys).union(top_l.select(*keys)).distinct()
         a, b = _places(bm, top_b, wanted), _places(lit, top_l, wanted)
     else:
