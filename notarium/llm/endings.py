@@ -113,13 +113,14 @@ class _Frames:
         return " ".join(out)
 
 
-def paragraphs(text: str) -> tuple[list[str], str]:
-    """(paragraphs and list items, what the end of the text is in: '', 'fence', 'row', 'heading' or 'whole row')."""
+def paragraphs(text: str) -> tuple[list[tuple[str, bool]], str]:
+    """(paragraphs and list items, each with whether it is an item; what the end of the text is in: '', 'fence', 'row', 'heading', 'closed' or 'whole row')."""
     lines = text.replace("\r\n", "\n").lstrip("﻿").split("\n")
     start = 0
     if lines and lines[0].strip() == "---":
         start = next((k + 1 for k in range(1, len(lines)) if lines[k].strip() == "---"), 0)
     out: list[list[str]] = []
+    listed: list[bool] = []
     fence, state, fresh, cells, quoted = "", "", True, 0, False
     for line in lines[start:]:
         s = line.strip()
@@ -151,10 +152,11 @@ def paragraphs(text: str) -> tuple[list[str], str]:
                 s = s[item.end() :]
             if fresh or item or not out:
                 out.append([s])
+                listed.append(bool(item))
             else:
                 out[-1].append(s)
             fresh = False
-    return [" ".join(p) for p in out], "fence" if fence else state
+    return list(zip(map(" ".join, out), listed, strict=True)), "fence" if fence else state
 
 
 def _outlined(kept: frozenset[str]):
@@ -178,15 +180,18 @@ def _outlined(kept: frozenset[str]):
                 short = without_marks(body)
                 parts, state = paragraphs(short)
                 last = ""
-                for k, p in enumerate(parts):
+                for k, (p, item) in enumerate(parts):
                     units = _SPLIT.split(p)
                     if k == len(parts) - 1 and state not in ("whole row", "row", "closed", "heading", "fence"):
                         last = units.pop()
-                    for u in units:
+                        item = False
+                    for n, u in enumerate(units, 1):
                         f = frames.of(u)
                         if _ENDED.search(u):
                             f = f.rstrip(" .!?")
                             ended[f] += 1
+                        elif item and n == len(units):  # a list item that another follows ends as it is
+                            ended[f] += 1
                         went[f] += 1
                 terminated = bool(_ENDED.search(last)) and not (body != short and body[len(short) :].lstrip().startswith("..") and last.endswith("."))
                 if terminated:

@@ -27,6 +27,14 @@ def test_cut_or_whole(spark):
     assert not any(got[i] for i in range(300))
 
 
+def test_items_without_stops_end_as_they_are(spark):
+    rows = [(4000 + i, f"# T\n\n- [ ] check the {a} of {b}\n- [ ] check the {b} of {a}\n- [ ] check the {a} of {a}", "en", "s3") for i, (a, b) in enumerate((a, b) for a in NOUNS for b in NOUNS)]
+    rows += [(4500 + i, f"Please check the cache of the {b} before the {b} is moved.", "en", "s3") for i, b in enumerate(NOUNS)]
+    rows += [(4600, "- [ ] check the cache of the ledger\n- [ ] check the cache of", "en", "s3"), (4601, "- [ ] check the cache of the brea", "en", "s3")]
+    got = judge(spark, rows)
+    assert not any(got[4000 + i] for i in range(100)) and not any(got[4500 + i] for i in range(10)) and got[4600] and got[4601]
+
+
 def test_length_evidence(spark):
     # cut at 80 characters, where one of them happens to look whole
     s = "There are 10 ways to reach the breadcrumb, most of them partial. " * 2
@@ -52,5 +60,5 @@ def test_rates(spark):
 
 
 def test_paragraphs():
-    assert endings.paragraphs("---\na: 1\n---\n# H\n\none\ntwo\n\n- x\n- [ ] y\n> q") == (["one two", "x", "y", "q"], "")
+    assert endings.paragraphs("---\na: 1\n---\n# H\n\none\ntwo\n\n- x\n- [ ] y\n> q") == ([("one two", False), ("x", True), ("y", True), ("q", False)], "")
     assert endings.paragraphs("~~~\n```\nx")[1] == "fence" and endings.paragraphs("| a | b |\n| c |")[1] == "row"
