@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 24_000
+SALTS = 64
 PROMPT = "Summarise the note below in two or three sentences, in its own language.\n\n%s"
 
 
@@ -30,9 +31,12 @@ def inputs(notes: DataFrame, chunks: DataFrame, most: int = MOST_BYTES) -> DataF
     head = F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("lead", F.lit("")), F.array_join(F.coalesce("headings", F.array().cast("array<string>")), "\n"))
     n = notes.select("path", head.alias("head"))
     part = F.concat(F.lit("\n\n"), F.coalesce("breadcrumb", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
-    # a part has three bytes at least, so the first ones suffice; a grouped limit keeps them before the shuffle
-    order = Window.partitionBy("path").orderBy("chunk_id")
-    first = chunks.select("path", "chunk_id", part.alias("part")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most // 3 + 2)
+    # a part has three bytes at least, so the first ones of a note suffice; a note with very many
+    # chunks is cut down to them in ``SALTS`` tasks before one task sees what is left
+    enough, order = most // 3 + 2, Window.partitionBy("path").orderBy("chunk_id")
+    parts = chunks.select("path", "chunk_id", part.alias("part"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).alias("salt"))
+    some = parts.withColumn("n", F.row_number().over(Window.partitionBy("path", "salt").orderBy("chunk_id"))).where(F.col("n") <= enough)
+    first = some.drop("n", "salt").withColumn("n", F.row_number().over(order)).where(F.col("n") <= enough)
     c = first.drop("n").join(n, "path")
     so_far = F.coalesce(F.sum(F.octet_length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = c.withColumn("before", F.octet_length("head") + so_far).where(F.col("before") <= most)
