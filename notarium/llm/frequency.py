@@ -138,11 +138,10 @@ def frequencies(rows: DataFrame, record: str, term: str, n: str | None = None, l
     """
     x = rows.select(F.col(f"`{record}`").cast("bigint").alias("record"), F.col(f"`{term}`").cast("string").alias("term"), (F.coalesce(F.col(f"`{n}`").cast("bigint"), F.lit(0)) if n else F.lit(1).cast("bigint")).alias("n"))
     packed = x.where("record is not null and term is not null").mapInArrow(_packed, "record bigint, terms binary, lens binary, ns binary")
-    if live is None:
-        packed = packed.repartition("record")
-    else:
+    if live is not None:
         packed = packed.join(live.select(F.col(live.columns[0]).cast("bigint").alias("record")).where("record is not null").distinct(), "record", "left_semi")
-    blocks = packed.sortWithinPartitions("record").mapInArrow(_counted, "term string, n_total bigint, n_records bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    # a broadcast join brings no record's rows together
+    blocks = packed.repartition("record").sortWithinPartitions("record").mapInArrow(_counted, "term string, n_total bigint, n_records bigint").persist(StorageLevel.MEMORY_AND_DISK)
     ids = cut(blocks.select("term").distinct().withColumn("id", F.monotonically_increasing_id()))
     encoded = blocks.join(ids, "term").select("id", "n_total", "n_records")
     schema = "range bigint, occurs array<bigint>, present array<bigint>"

@@ -28,6 +28,16 @@ def test_against_brute_force(spark, monkeypatch):
     assert count(spark, rows, live) == brute(rows, set(live))
 
 
+def test_repeated_rows_in_several_files(spark, tmp_path):
+    rows = [(i, t, 2) for i in range(60) for t in ("md", f"t{i % 20}", f"own{i}")]
+    for _ in range(3):
+        spark.createDataFrame(rows, "chunk_id bigint, term string, tf int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+    live = spark.createDataFrame([(i,) for i in range(50)], "chunk_id bigint")
+    live.write.parquet(f"{tmp_path}/live")
+    got = fr.frequencies(spark.read.parquet(f"{tmp_path}/rows"), "chunk_id", "term", "tf", spark.read.parquet(f"{tmp_path}/live"))
+    assert {r.term: (r.n_total, r.n_records) for r in got.collect()} == brute(rows, set(range(50)))
+
+
 def test_gaps(spark):
     assert count(spark, []) == {}
     long = "x" * 300_000
