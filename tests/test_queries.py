@@ -73,6 +73,28 @@ def test_nulls(spark):
     assert enrich.inputs(notes, chunks).count() == 2
 
 
+def test_summary_inputs_are_as_long_as_the_reference_s(spark):
+    full = {r.path: r.n_bytes for r in registry.summary_input_full(spark, SF).collect()}
+    short = {r.path: r.n_bytes for r in registry.summary_input(spark, SF).collect()}
+    assert full.keys() == short.keys() and all(full[p] >= n for p, n in short.items())
+    assert sum(full[p] > n for p, n in short.items()) > 0 and registry.SQL["summary_input_full"] != registry.SQL["summary_input"]
+
+
+@pytest.mark.parametrize("most", [0, 9, 40, 200, 24_000])
+def test_summary_limits(spark, most):
+    notes = spark.createDataFrame([(f"{i}.md", "Tü", "lead", ["A", "B"]) for i in range(3)] + [("none.md", None, None, None)], "path string, title string, lead string, headings array<string>")
+    rows = [(100 * i + k, f"{i}.md", "A > B", "ы" * (k % 7) + "x" * i) for i in range(3) for k in range(90)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, path string, breadcrumb string, body string")
+    want = {"none.md": "\n\n\n\n"}
+    for i in range(3):
+        text = "Tü\n\nlead\n\nA\nB"
+        for _, path, crumb, body in rows:
+            if path == f"{i}.md" and len(text.encode()) <= most:
+                text += f"\n\n{crumb}\n{body}"
+        want[f"{i}.md"] = text
+    assert {r.path: r.text for r in enrich.inputs(notes, chunks, most).collect()} == want
+
+
 def test_long_text(spark):
     chunks = spark.createDataFrame([(1, "a.md", 0, "", 1, "Wort " * 200_000)], ix.CHUNKS)
     assert {r.term: r.tf for r in ix.postings(chunks).collect()}["wort"] == 200_000
