@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.llm import words as wd
@@ -147,13 +147,35 @@ def leaks(found: DataFrame) -> DataFrame:
     return found.where("verbatim").select("doc_id", "item_id").distinct()
 
 
-def reparameterised(found: DataFrame, least: int = 20) -> DataFrame:
+def _joined(x: DataFrame, least: int, drift: int) -> DataFrame:
+    """Runs at several distances within ``drift`` words, taken together, with their counts."""
+    pair = ["doc_id", "item_id"]
+    # each distance with the ones near it before and after; a pair at one distance only has no row
+    at = Window.partitionBy(*pair).orderBy("shift")
+    near = x.select(*pair, "shift").distinct().withColumn("los", F.collect_list("shift").over(at.rangeBetween(-drift, 0))).withColumn("his", F.collect_list("shift").over(at.rangeBetween(0, drift)))
+    spans = near.select(*pair, "shift", F.explode("los").alias("lo"), "his").select(*pair, "shift", "lo", F.explode("his").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("hi") - F.col("lo") <= drift))
+    run = [*pair, "lo", "hi"]
+    each = x.join(spans, [*pair, "shift"]).select(*run, "shift", "item_pos", F.posexplode(F.arrays_zip("item_words", "doc_words", "slots")).alias("k", "w")).select(*run, "shift", (F.col("item_pos") + F.col("k")).alias("at"), "w.item_words", "w.doc_words", "w.slots").distinct()
+    # a word with a place at several distances is where they meet: its replacement isn't one word
+    met = Window.partitionBy(*run, "at")
+    told = each.withColumn("seam", F.min("shift").over(met) < F.max("shift").over(met))
+    word = told.groupBy(*run, "item_words").agg(
+        F.countDistinct(F.when(~F.col("seam"), F.col("doc_words"))).alias("ways"), F.countDistinct("at").alias("n"), F.max(F.col("slots").cast("int")).alias("slot"),
+        F.countDistinct(F.when(F.col("seam"), F.col("at"))).alias("n_seam"), F.countDistinct(F.when(F.col("doc_words") != F.col("item_words"), F.col("at"))).alias("changed"),
+    )
+    runs = word.groupBy(*run).agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("slot")).alias("n_slots"), F.sum("changed").alias("n_changed"), F.max("ways").alias("ways"), F.sum("n_seam").alias("n_seam"))
+    return runs.where((F.col("ways") == 1) & (F.col("n_changed") > 0) & (F.col("n_words") >= least) & (F.col("n_seam") <= drift))
+
+
+def reparameterised(found: DataFrame, least: int = 20, drift: int = 5) -> DataFrame:
     """(doc_id, item_id, n_words, n_slots, n_changed) of items that are in a document with other numbers or names.
 
-    Windows of one document, item and distance belong together; they must cover
-    at least ``least`` words. Slots are consistent if each word of the item is
-    replaced by one word only; at least one must be changed, and no window of
-    the pair may be verbatim.
+    Windows of one document, item and distance belong together, and so do those
+    at distances that differ by up to ``drift`` words, as a replacement of
+    another number of words makes them; they must cover at least ``least``
+    words. Slots are consistent if each word of the item is replaced by one word
+    only, save the up to ``drift`` words where two distances meet; at least one
+    must be changed, and no window of the pair may be verbatim.
     """
     x = found.withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     run = ["doc_id", "item_id", "shift"]
@@ -161,5 +183,6 @@ def reparameterised(found: DataFrame, least: int = 20) -> DataFrame:
     word = each.groupBy(*run, "item_words").agg(F.countDistinct("doc_words").alias("ways"), F.min("doc_words").alias("d"), F.max(F.col("slots").cast("int")).alias("slot"), F.countDistinct("at").alias("n"))
     runs = word.groupBy(*run).agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("slot")).alias("n_slots"), F.sum(F.when(F.col("d") != F.col("item_words"), F.col("n")).otherwise(0)).alias("n_changed"), F.max("ways").alias("ways"))
     good = runs.where((F.col("ways") == 1) & (F.col("n_changed") > 0) & (F.col("n_words") >= least))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_slots", "n_changed")).alias("b")).select("doc_id", "item_id", "b.*")
+    both = [*run[:2], "n_words", "n_slots", "n_changed"]
+    best = good.select(*both).unionByName(_joined(x, least, drift).select(*both)).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_slots", "n_changed")).alias("b")).select("doc_id", "item_id", "b.*")
     return best.join(leaks(found), ["doc_id", "item_id"], "left_anti")

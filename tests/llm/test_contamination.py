@@ -57,3 +57,16 @@ def test_gaps(spark):
     assert {d for d, _ in got} == {303} and (303, 3) in got
     assert ct.leaks(found(spark, [], items)).count() == 0
     assert ct.leaks(found(spark, docs, [])).count() == 0
+
+
+def test_names_of_another_number_of_words(spark):
+    def text(name, left="first", right="last"):
+        return f"In the second trial of this old rack we suppose that the {left} mount is lost to {name} while the other writers wait for a new record of the {right} queue at the end"
+
+    items = [(i, text(f"kor{'abcdefghij'[i]}", f"le{'abcdefghij'[i]}", f"ri{'abcdefghij'[i]}")) for i in range(9)] + [(9, text("tall vorn", "same", "same"))]
+    docs = [(1, "So it says. " + text("anna berg", "ux", "vy")), (2, text("berg", "ux", "ux")), (3, text("anna maria berg", "ux", "vy")), (4, text("berg", "ux", "vy"))]
+    got = {(r.doc_id, r.item_id): r for r in ct.reparameterised(found(spark, docs, items)).collect()}
+    # (1 and 3) more words for one; (2) one for two; (4) one for two, but "same" became two words
+    assert {i for d, i in got if d == 1} == set(range(9)) and {i for d, i in got if d == 3} == set(range(9))
+    assert (2, 9) in got and (4, 9) not in got
+    assert all(r.n_words >= 30 for (d, i), r in got.items() if d in (1, 3))
