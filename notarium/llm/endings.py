@@ -267,8 +267,8 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
       does without that word, at least ``sure`` times, or
     * its length is one at which its source's texts are cut again and again.
 
-    Texts that are null, empty or end after a heading, table or code block
-    aren't cut. Repeated ids count once.
+    Texts that are null or empty aren't cut; those that end after a heading,
+    table or code block are by their length only. Repeated ids count once.
     """
     texts = texts.select(F.col("id").cast("bigint").alias("id"), "text", language_key(F.col("lang")).alias("lang"), "source").where("text is not null")
     words = cut(vocabulary(texts))
@@ -290,12 +290,13 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     broken = (F.col("goes_on") >= fewest) & (F.col("ended") < F.greatest(F.lit(1.0), ratio * F.col("goes_on")))
     stray = F.col("begins") & ~F.col("frame").endswith("I") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
     open_, no_end = F.col("how").isin("fence", "row", "open", "byte"), F.col("how") == "loose"
+    may_stop = no_end | ((F.col("how") == "ended") & F.col("state").isin("whole row", "heading", "closed"))
     at = texts.select("id", "source", F.xxhash64("text").alias("h"), F.struct(F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).alias("size")).dropDuplicates(["id"])
     y = at.join(tails, "id").join(x, "id", "left").withColumn("evident", F.coalesce(open_ | (no_end & (F.col("partial") | broken | stray)), F.lit(False)))
     y = cut(y)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"size.{k}").alias("size")) for k in ("chars", "bytes")]))
-    sized = y.select("id", "source", "h", "evident", "how", each.alias("s")).select("id", "source", "h", "evident", "how", "s.*")
+    sized = y.select("id", "source", "h", "evident", "how", "state", each.alias("s")).select("id", "source", "h", "evident", "how", "state", "s.*")
     spikes = limits(sized)
-    near = sized.where("how = 'loose'").alias("t").join(spikes.alias("k"), F.expr("t.source <=> k.source and t.kind = k.kind and t.size = k.size"), "left_semi").select("id").distinct()
+    near = sized.where(may_stop).alias("t").join(spikes.alias("k"), F.expr("t.source <=> k.source and t.kind = k.kind and t.size = k.size"), "left_semi").select("id").distinct()
     y = y.drop("h", "size").join(near.withColumn("at_limit", F.lit(True)), "id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    return y.withColumn("cut", F.col("evident") | (no_end & F.col("at_limit"))).drop("evident")
+    return y.withColumn("cut", F.col("evident") | (may_stop & F.col("at_limit"))).drop("evident")

@@ -46,6 +46,18 @@ def test_length_evidence(spark):
     assert all(got[2000 + i] for i in range(6)) and got[2100] and not got[2101]
 
 
+def test_length_evidence_after_rows_headings_and_fences(spark):
+    s = "There are 10 ways to reach the breadcrumb, most of them partial. " * 2
+    rows = [(2000 + i, (f"{i} " + s)[:80], "en", "field") for i in range(6)]
+    ends = ["\n\n| a | b |\n| - | - |\n| x | y |", "\n\n## A heading", "\n\n```\ncode\n```"]
+    rows += [(2100 + i, "A" * (80 - len(e)) + e, "en", "field") for i, e in enumerate(ends)]
+    rows += [(2200 + i, "A" * (70 - len(e)) + e, "en", "field") for i, e in enumerate(ends)]
+    rows += [(2300 + i, "A" * (80 - len(e)) + e, "en", "other") for i, e in enumerate(ends)]
+    got = judge(spark, rows)
+    assert all(got[2100 + i] for i in range(3))
+    assert not any(got[2200 + i] or got[2300 + i] for i in range(3))
+
+
 def test_gaps(spark):
     got = judge(spark, [(None, "The cache", "en", None), (3000, None, "en", "s"), (3001, "x" * 300_000, None, None), (3002, "- [ ] a\n" * 50_000, "", ""), (3001, "x" * 300_000, None, None)])
     assert 3000 not in got and None not in got and {3001, 3002} <= set(got)
