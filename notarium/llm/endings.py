@@ -235,9 +235,19 @@ def prefixes(frames: DataFrame) -> DataFrame:
 
 
 def trie(words: DataFrame, longest: int = 40) -> DataFrame:
-    """(prefix, below): the nodes above whole words of a corpus vocabulary, with the number of words below each."""
-    w = words.select("word").distinct().where(F.length("word").between(2, longest))
-    return w.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("below"))
+    """(prefix, below): the nodes above whole words of a corpus vocabulary down to ``longest`` letters, with the number of words below each."""
+    w = words.select("word").distinct().where(F.length("word") >= 2)
+    depths = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest)))
+    return w.select(F.explode(F.transform(depths, lambda k: F.substring("word", F.lit(1), k))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("below"))
+
+
+def beginnings(tokens: DataFrame, words: DataFrame, longest: int = 40) -> DataFrame:
+    """(word) of the ``tokens`` (word) that start a longer one of ``words``; those of over ``longest`` letters are looked up in a join of their own."""
+    short = tokens.join(trie(words, longest).withColumnRenamed("prefix", "word"), "word", "left_semi")
+    top = lambda c: F.substring(c, 1, longest).alias("top")
+    deep = tokens.where(F.length("word") > longest).select("word", top("word")).alias("t")
+    long = words.select("word").distinct().where(F.length("word") > longest + 1).select("word", top("word")).alias("w")
+    return short.unionByName(deep.join(long, F.expr("t.top = w.top and length(w.word) > length(t.word) and startswith(w.word, t.word)"), "left_semi").select("word"))
 
 
 def limits(sized: DataFrame, least: int = 3, share: float = 0.25) -> DataFrame:
@@ -281,7 +291,7 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     usual = {int(r.k): r.n for r in shapes.collect()}
     whole = {k for k, n in usual.items() if n >= 0.02 * sum(usual.values())}
     hexes = [f"0x{k}" for k in range(max(whole, default=0)) if k not in whole]
-    begun = tokens.join(trie(words).withColumnRenamed("prefix", "word"), "word", "left_semi").join(known.withColumn("known", F.lit(True)), "word", "left")
+    begun = beginnings(tokens, words).join(known.withColumn("known", F.lit(True)), "word", "left")
     begun = begun.select("word", F.lit(True).alias("begins"), F.col("known").isNull().alias("partial"))
     begun = begun.unionByName(tokens.where(F.col("word").isin(*hexes)).select("word", F.lit(True).alias("begins"), F.lit(True).alias("partial")))
     on = prefixes(frames)

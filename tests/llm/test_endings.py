@@ -58,6 +58,28 @@ def test_length_evidence_after_rows_headings_and_fences(spark):
     assert not any(got[2200 + i] or got[2300 + i] for i in range(3))
 
 
+def test_pieces_of_very_long_words(spark):
+    long = "donaudampfschifffahrtselektrizitaetenhauptbetriebswerkbauunterbeamtengesellschaft"
+    rows = [(5000 + i, f"Please move it to the {n}.", "en", "s4") for i, n in enumerate(NOUNS * 2)]
+    rows += [(5100, f"Please move it to the {long}. Nothing in the cache depends on the journal any more.", "en", "s4")]
+    rows += [(5200 + k, f"Please move it to the {long[:k]}", "en", "s5") for k in (12, 39, 40, 41, 42, 60, len(long) - 1)]
+    rows += [(5300, f"Please move it to the {long}", "en", "s5"), (5301, f"Please move it to the {long[:50]}q", "en", "s5"), (5302, f"Please move it to the {long[:10]}q", "en", "s5")]
+    got = judge(spark, rows)
+    assert [k for k in (12, 39, 40, 41, 42, 60, len(long) - 1) if not got[5200 + k]] == []
+    assert not any(got[k] for k in (5300, 5301, 5302))
+
+
+def test_beginnings_against_brute_force(spark):
+    rng = random.Random(7)
+    known = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(150)}
+    asked = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(150)}
+    df = lambda w: spark.createDataFrame([(x,) for x in sorted(w)], "word string")
+    want = {t for t in asked if any(w != t and w.startswith(t) for w in known)}
+    for longest in (2, 4, 40):
+        got = [r.word for r in endings.beginnings(df(asked), df(known), longest).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_gaps(spark):
     got = judge(spark, [(None, "The cache", "en", None), (3000, None, "en", "s"), (3001, "x" * 300_000, None, None), (3002, "- [ ] a\n" * 50_000, "", ""), (3001, "x" * 300_000, None, None)])
     assert 3000 not in got and None not in got and {3001, 3002} <= set(got)
