@@ -1,14 +1,17 @@
 """Records that share most of their content: MinHash banding, sketch verification, connected components.
 
-1. One Python pass over the texts (Arrow batches, numpy) gives each record a
-   128-bit identity of its shingle set, ``bands * rows`` universal hash minima
-   folded into band keys, and a sketch of one bit per minimum.
+Several fields (titles, bodies) go through one plan; nodes never meet across fields.
+
+1. One Python pass over the texts (Arrow batches, numpy) gives each record the
+   hash of its shingle set (its node), ``bands * rows`` universal hash minima
+   folded into band keys, and a sketch of one bit per minimum. Band keys leave
+   the task packed by target partition: one binary row holds thousands.
 2. Records with the same shingle set collapse into one class before anything is
    paired, so a third of all rows being copies costs one aggregation.
-3. Band keys are shuffled once. A streaming pass over each sorted partition pairs
-   what shares a key. A key held by more than ``bucket_cap`` classes isn't
-   paired: its classes go to an exact prefix-filtered join instead, so no link
-   is lost and no bucket grows quadratically.
+3. Each partition of band keys pairs what shares a key. A key held by more than
+   ``bucket_cap`` classes isn't paired: each of its classes meets one of them,
+   the representative, and for links among the others there is an exact
+   prefix-filtered join, so that no link is lost and no bucket is held whole.
 4. Candidates are verified by their sketches (XOR and bit counts), the
    survivors by their shingle sets.
 5. Groups are found by alternating large-star and small-star.
@@ -19,17 +22,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notarium.llm import words as wd
 from notarium.runtime import cut
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Band keys that a task packs at a time, and that a partition of them is made for.
+PACKED, PARTITION = 1 << 20, 1 << 21
+#: Members of a class, or holders of a shingle, that meet in one task.
+BLOCK = 512
 #: Shingle sets that a task remembers, to leave out the bands of their copies.
 REMEMBERED = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -88,114 +97,179 @@ def _family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 2**32, count, dtype=np.uint32) | np.uint32(1)), rng.integers(0, 2**32, count, dtype=np.uint32)
 
 
-def _signer(shingler, bands: int, rows: int, seed: int):
-    """(id, node, n, bits, keys, fresh): node is the hash of a record's shingle set, n its size, keys one 48-bit key a band.
+def _signer(parts: list[Similarity], partitions: int):
+    """Two kinds of rows of records (f, id, text), f being the number of a similarity.
 
-    ``fresh`` is false for copies of a set that the task has met before.
+    Records: (f, id, node, n, w0, w1, ...), node being the hash of the shingle
+    set, n its size and w the sketch. Packs: (part, pack), the band keys for one
+    of the ``partitions``: 32 bits of each key, then the 64 bits of each node.
+    Sets that the task has met before have no band keys.
     """
-    a, b = _family(bands * rows, seed)
-    longs = bands * rows // 64
+    one = parts[0]
+    a, b = _family(one.bands * one.rows, one.seed)
+    longs = one.longs
+    names = ["f", "id", "node", "n", *[f"w{k}" for k in range(longs)], "part", "pack"]
+    shinglers = [p.shingler() for p in parts]
+
+    def packs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, nodes = np.concatenate([k.ravel() for k, _ in held]), np.concatenate([np.broadcast_to(n, k.shape).ravel() for k, n in held])
+        part = ((keys >> np.uint64(32)) % np.uint64(partitions)).astype(np.uint16 if partitions < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        low, nodes = keys.astype(np.uint32)[order], nodes[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=partitions))])
+        some = np.flatnonzero(np.diff(ends))
+        blobs = [low[ends[p] : ends[p + 1]].tobytes() + nodes[ends[p] : ends[p + 1]].tobytes() for p in some]
+        empty = [pa.nulls(len(some), t) for t in (pa.int8(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * longs)]
+        return pa.RecordBatch.from_arrays([*empty, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+    def signed(f: int, ids: np.ndarray, texts: list[str], met: set[int]) -> tuple[pa.RecordBatch, tuple] | None:
+        h, starts = shinglers[f](texts)
+        sizes = np.diff(starts)
+        has = sizes > 0
+        if not has.any():
+            return None
+        at = starts[:-1][has]
+        x = h.astype(np.uint32) ^ ((h >> np.uint64(32)).astype(np.uint32) * np.uint32(0x85EBCA6B))
+        keys = np.full((one.bands, len(at)), f, np.uint64)
+        bits = np.zeros((longs, len(at)), np.uint64)
+        hashed = np.empty_like(x)
+        for k in range(one.bands * one.rows):
+            np.add(np.multiply(x, a[k], out=hashed), b[k], out=hashed)
+            m = np.minimum.reduceat(hashed, at)
+            keys[k // one.rows] = mix64(keys[k // one.rows] * _GOLD + m + np.uint64(k // one.rows + 1))
+            if k < longs * 64:
+                bits[k // 64] |= ((m >> np.uint32(12)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
+        node = _node(h, at, f)
+        fresh = np.zeros(len(node), bool)
+        for k, v in enumerate(node.tolist()):
+            if v not in met:
+                fresh[k] = True
+                met.add(v)
+        n = len(node)
+        rows = [pa.array(np.full(n, f, np.int8)), pa.array(ids[has], pa.int64()), pa.array(node.view(np.int64)), pa.array(sizes[has].astype(np.int32)), *[pa.array(w.view(np.int64)) for w in bits], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays(rows, names=names), (keys[:, fresh], node[fresh])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        held, size = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                h, starts = shingler(texts[lo : lo + 512])
-                sizes = np.diff(starts)
-                has = sizes > 0
-                if not has.any():
-                    continue
-                at = starts[:-1][has]
-                x = h.astype(np.uint32) ^ ((h >> np.uint64(32)).astype(np.uint32) * np.uint32(0x85EBCA6B))
-                keys = np.zeros((bands, len(at)), np.uint64)
-                bits = np.zeros((longs, len(at)), np.uint64)
-                hashed = np.empty_like(x)
-                for k in range(bands * rows):
-                    np.add(np.multiply(x, a[k], out=hashed), b[k], out=hashed)
-                    m = np.minimum.reduceat(hashed, at)
-                    keys[k // rows] = mix64(keys[k // rows] * _GOLD + m + np.uint64(k // rows + 1))
-                    if k < longs * 64:
-                        bits[k // 64] |= ((m >> np.uint32(12)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
-                node = mix64(np.add.reduceat(mix64(h + _GOLD), at) ^ mix64(np.bitwise_xor.reduceat(mix64(h ^ _GOLD), at)))
-                fresh = []
-                for one in node.tolist():
-                    fresh.append(one not in met)
-                    met.add(one)
+            fields, ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(fields)) + 1).tolist(), len(fields)]
+            for lo, hi in ((x, min(x + 512, hi)) for lo, hi in pairwise(edges) for x in range(lo, hi, 512)):
+                got = signed(int(fields[lo]), ids[lo:hi], texts[lo:hi], met)
+                if got:
+                    yield got[0]
+                    held.append(got[1])
+                    size += got[1][0].size
+                if size >= PACKED:
+                    yield packs(held)
+                    held, size = [], 0
                 if len(met) > REMEMBERED:
                     met.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo : lo + 512][has], pa.int64()), pa.array(node.view(np.int64)), pa.array(sizes[has].astype(np.int32)), _lists(bits), _lists(keys >> np.uint64(16)), pa.array(fresh)],
-                    names=["id", "node", "n", "bits", "keys", "fresh"],
-                )
+        if size:
+            yield packs(held)
 
     return run
 
 
-def _lists(columns: np.ndarray) -> pa.Array:
-    """One list a column of a matrix."""
-    flat = pa.array(np.ascontiguousarray(columns.T).ravel().view(np.int64))
-    return pa.ListArray.from_arrays(pa.array(np.arange(columns.shape[1] + 1, dtype=np.int32) * columns.shape[0]), flat)
+def _node(h: np.ndarray, at: np.ndarray, f: int) -> np.ndarray:
+    """One hash for each of the sets of hashes that begin ``at``."""
+    return mix64((np.add.reduceat(mix64(h + _GOLD), at) ^ mix64(np.bitwise_xor.reduceat(mix64(h ^ _GOLD), at))) + np.uint64(f))
 
 
-def _shingled(shingler):
-    """(id, h): the distinct shingle hashes of each record."""
+def _shingled(parts: list[Similarity]):
+    """(node, h): the distinct shingle hashes of each record (f, id, text)."""
+    shinglers = [p.shingler() for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, starts = shingler(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "h"])
+            fields, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(fields)) + 1).tolist(), len(fields)]
+            for lo, hi in pairwise(edges):
+                if lo == hi:
+                    continue
+                f = int(fields[lo])
+                h, starts = shinglers[f](texts[lo:hi])
+                has = np.diff(starts) > 0
+                if not has.any():
+                    continue
+                node = _node(h, starts[:-1][has], f)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([starts[:-1][has], starts[-1:]]).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists], names=["node", "h"])
 
     return run
 
 
-def _pairing(cap: int):
-    """Pairs of a stream sorted by key. Nodes of a key that more than ``cap`` nodes hold come out without a partner."""
+def _pairing(cap: int, most: int = 2 * PARTITION):
+    """(a, b, crowded) of the packs of one partition: the nodes that share a key.
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], names=["a", "b"])
+    Pairs of a key that at most ``cap`` nodes hold have a < b. Of a key that
+    more hold, each node comes out with one of them, its representative a, and
+    ``crowded``. Keys are sorted ``most`` at a time; what is known to be crowded
+    is given out at once, so a hot key takes no room.
+    """
 
-    def paired(nodes: np.ndarray, lo: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s in np.unique(size[(size > 1) & (size <= cap)]):
-            at = lo[size == s]
-            i, j = np.triu_indices(s, 1)
-            step = max(1, 200_000 // len(i))
-            for k in range(0, len(at), step):
-                block = nodes[at[k : k + step, None] + np.arange(s)]
-                yield out(block[:, i].ravel(), block[:, j].ravel())
+    def out(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
+
+    def shared(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows sorted, repeats once, and where each key's begin and how many they are."""
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        lo = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        return key, node, lo, np.diff(np.concatenate([lo, [len(key)]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, held, over = None, np.zeros(0, np.int64), False
+        keys, nodes, size, limit = [], [], 0, most
+        over: dict[int, int] = {}
+
+        def known(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What of the rows belongs to keys known to be crowded; the others are kept."""
+            nonlocal size
+            if over:
+                hot = np.isin(key, np.fromiter(over, np.uint32, len(over)))
+                if hot.any():
+                    yield out(np.fromiter(map(over.__getitem__, key[hot].tolist()), np.int64, hot.sum()), node[hot], True)
+                    key, node = key[~hot], node[~hot]
+            keys.append(key)
+            nodes.append(node)
+            size += len(key)
+
+        def crowds(key: np.ndarray, node: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for x, m in zip(lo[n > cap], n[n > cap], strict=True):
+                over[int(key[x])] = int(node[x])
+                yield out(np.full(m - 1, node[x]), node[x + 1 : x + m], True)
+
         for batch in batches:
-            key, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            if not len(key):
-                continue
-            if last_key != key[0]:
-                yield from paired(held, np.array([0]), np.array([len(held)]))
-                held, over = held[:0], False
-            elif over:  # more of a key that was too large before
-                same = int(np.searchsorted(key, last_key, side="right"))
-                yield out(node[:same], None)
-                key, node = key[same:], node[same:]
-                if not len(key):
-                    continue
-                over = False
-            if len(held):
-                key, node = np.concatenate([np.full(len(held), key[0]), key]), np.concatenate([held, node])
-            if len(key) > 1:  # the same node may come from several tasks
-                order = np.lexsort((node, key))
-                key, node = key[order], node[order]
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-                key, node = key[new], node[new]
-            edges = np.flatnonzero(key[1:] != key[:-1]) + 1
-            lo, hi = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-            size = hi - lo
-            yield from paired(node, lo[:-1], size[:-1])
-            for x, y in zip(lo[size > cap], hi[size > cap], strict=True):
-                yield out(node[x:y], None)
-            last_key, over = key[-1], bool(size[-1] > cap)
-            held = node[:0] if over else node[lo[-1] :]
-        yield from paired(held, np.array([0]), np.array([len(held)]))
+            for pack in batch.column(0).to_pylist():
+                m = len(pack) // 12
+                yield from known(np.frombuffer(pack, np.uint32, m), np.frombuffer(pack, np.int64, m, 4 * m))
+                if size > limit:
+                    key, node, lo, n = shared(np.concatenate(keys), np.concatenate(nodes))
+                    yield from crowds(key, node, lo, n)
+                    stay = np.repeat(n <= cap, n)
+                    keys, nodes, size = [key[stay]], [node[stay]], int(stay.sum())
+                    limit = max(most, 2 * size)
+        if not size:
+            return
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        twice = np.sort(key)
+        twice = twice[1:][twice[1:] == twice[:-1]]
+        held = np.isin(key, twice)  # keys of one row pair nothing
+        if not held.any():
+            return
+        key, node, lo, n = shared(key[held], node[held])
+        yield from crowds(key, node, lo, n)
+        for s in np.unique(n[(n > 1) & (n <= cap)]):
+            at = lo[n == s]
+            i, j = np.triu_indices(s, 1)
+            step = max(1, 200_000 // len(i))
+            for k in range(0, len(at), step):
+                block = node[at[k : k + step, None] + np.arange(s)]
+                yield out(block[:, i].ravel(), block[:, j].ravel(), False)
 
     return run
 
@@ -219,6 +293,17 @@ class Similarity:
     #: Row count up to which ids are broadcast; more are joined by a shuffle.
     broadcast_rows: int = 1_000_000
 
+    @property
+    def longs(self) -> int:
+        """64-bit words of a sketch."""
+        return self.bands * self.rows // 64
+
+    @property
+    def most_off(self) -> int:
+        """Bits in which the sketches of a pair at the threshold may differ: 4.5 standard deviations above the mean."""
+        hashes, agree = self.longs * 64, (1 + self.threshold) / 2
+        return int(hashes * (1 - agree + 4.5 * math.sqrt(agree * (1 - agree) / hashes))) if hashes else 0
+
     def shingler(self):
         width, least = self.width, self.least
         if self.kind == "chars":
@@ -226,90 +311,152 @@ class Similarity:
         return lambda texts: word_shingles(texts, width, least)
 
 
+@dataclass(frozen=True)
+class Field:
+    """A text column whose records are compared with each other; ``name`` tells its records in results."""
+
+    name: str
+    df: DataFrame
+    id_col: str
+    text_col: str
+    spec: Similarity
+
+    def records(self, f: int) -> DataFrame:
+        """(f, id, text) of the rows that have both."""
+        x = self.df.select(F.lit(f).cast("tinyint").alias("f"), F.col(f"`{self.id_col}`").cast("bigint").alias("id"), F.col(f"`{self.text_col}`").alias("text"))
+        return x.where("id is not null and text is not null")
+
+
 def _sized(df: DataFrame, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _crowded(crowd: DataFrame, sets: DataFrame, spec: Similarity) -> DataFrame:
-    """Candidates among the nodes of overfull buckets, by exact prefix filtering on the rarest shingles."""
-    own = sets.join(crowd, "node", "left_semi")
-    each = own.select("node", F.size("h").alias("n"), F.explode("h").alias("s"))
-    df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "s").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, blks): in how many blocks of about ``BLOCK`` the rows of a key are paired; keys of one row pair nothing."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blks"))
+
+
+def pairs_within(rows: DataFrame, key: str, item: str, carried: tuple[str, ...] = (), alone: DataFrame | None = None) -> DataFrame:
+    """(a, b, the ``carried`` columns of one), a < b: the items of ``rows``, all different by key and item, that share a key.
+
+    A key's items meet block by block, so that no task has more than two blocks
+    of one key. Items that share several keys come out as often. Given ``alone``
+    (key, item), only pairs with one of these items are made, some of them twice.
+    """
+    blks = _blocks(rows, key)
+    b = rows.join(blks, key).withColumn("blk", F.when(F.col("blks") > 1, F.pmod(F.xxhash64(item), "blks")).otherwise(0).cast("int"))
+    if alone is None:
+        l = b.select(key, *carried, F.col(item).alias("x"), F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("blks") - 1)).alias("j"))
+        r = b.select(key, F.col(item).alias("y"), F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"))
+        met = l.join(r, [key, "i", "j"]).where("i < j or x < y")
+    else:
+        few = alone.join(blks, key).select(key, *carried, F.col(item).alias("x"), F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("blk"))
+        met = few.join(b.select(key, F.col(item).alias("y"), "blk"), [key, "blk"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *carried)
+
+
+def _prefixes(sets: DataFrame, thresholds: Column) -> DataFrame:
+    """(s, node) of ``sets`` (f, node, h): the rarest shingles of each, of which two sets at the threshold must share one."""
+    each = sets.select("f", "node", F.size("h").alias("n"), F.explode("h").alias("s"))
+    df = each.groupBy("f", "s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(df, ["f", "s"]).groupBy("node").agg(F.max("n").alias("n"), F.first("f").alias("f"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
     # shingles of one holder come first in every prefix and link nothing, so they only use it up
-    keep = F.expr(f"n - ceil({spec.threshold} * n) + 1 - (n - size(x))")
-    prefix = ranked.where(keep > 0).select("node", F.explode(F.slice(F.col("x.s"), F.lit(1), keep.cast("int"))).alias("s"))
-    return prefix.alias("l").join(prefix.alias("r"), F.expr("l.s = r.s and l.node < r.node")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    keep = (F.col("n") - F.ceil(thresholds * F.col("n")) + 1 - (F.col("n") - F.size("x"))).cast("int")
+    return ranked.where(keep > 0).select("node", F.explode(F.slice(F.col("x.s"), F.lit(1), keep)).alias("s"))
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, spec: Similarity) -> DataFrame:
-    """(id, node, n, bits, keys, fresh) of every record with at least one shingle; null ids and texts are left out."""
-    x = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    return x.mapInArrow(_signer(spec.shingler(), spec.bands, spec.rows, spec.seed), "id bigint, node bigint, n int, bits array<bigint>, keys array<bigint>, fresh boolean")
+@dataclass(frozen=True)
+class Linked:
+    """members (field, node, id), one row a record; links (a, b, similarity) between nodes, a < b; crowds: whether there were overfull buckets."""
+
+    members: DataFrame
+    links: DataFrame
+    crowds: bool
 
 
-def class_links(df: DataFrame, id_col: str, text_col: str, spec: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (node, id), one row a record; links (a, b, similarity) between nodes, a < b.
+def class_links(fields: list[Field], connected: bool = False) -> Linked:
+    """The classes of the records of ``fields`` and the links between them.
 
     A node is the class of all records with one and the same shingle set.
     Records without text, without id or with too few words belong to no class.
-    Repeated rows count once. ``df`` may be empty; its other columns don't matter.
+    Repeated rows count once. Tables may be empty; their other columns don't
+    matter. With ``connected``, links of overfull buckets are left out where
+    both ends have one to the bucket's representative, so that what hangs
+    together is the same with links of the order of the nodes.
     """
-    signed = signatures(df, id_col, text_col, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    members = signed.select("node", "id").distinct()
-    bands = signed.where("fresh").select(F.explode("keys").alias("key"), "node")
-    met = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_pairing(spec.bucket_cap), "a bigint, b bigint").distinct()
-    met = cut(met)
-    pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowd = met.where("b is null").select(F.col("a").alias("node"))
-    longs = spec.bands * spec.rows // 64
-    words = [f"w{k}" for k in range(longs)]  # one column a word, so that the aggregation hashes instead of sorting
-    wide = signed.select("node", "n", "id", *[F.get("bits", F.lit(k)).alias(w) for k, w in enumerate(words)])
-    sketch = wide.groupBy("node").agg(*[F.first(w).alias(w) for w in words], F.first("n").alias("n"), F.min("id").alias("id"))
-    hashes, agree = longs * 64, (1 + spec.threshold) / 2
-    off = int(hashes * (1 - agree + 4.5 * math.sqrt(agree * (1 - agree) / hashes)))
-    l, r = sketch.select(*[F.col(c).alias(f"{c}_a") for c in sketch.columns]), sketch.select(*[F.col(c).alias(f"{c}_b") for c in sketch.columns])
-    close = pairs.join(l, F.col("a") == F.col("node_a")).join(r, F.col("b") == F.col("node_b"))
-    close = close.where(F.expr(f"least(n_a, n_b) >= {spec.threshold} * greatest(n_a, n_b)"))
-    close = close.where(sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0)) <= off)
-    close = cut(close.select("a", "b", "id_a", "id_b"))
-    text = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    parts = [x.spec for x in fields]
+    one = parts[0]
+    if any((p.bands, p.rows, p.bucket_cap, p.seed) != (one.bands, one.rows, one.bucket_cap, one.seed) for p in parts):
+        raise ValueError("fields compared together need the same bands, rows, cap and seed")
+    per = lambda of: reduce(lambda rest, k: F.when(F.col("f") == k, of(parts[k])).otherwise(rest), range(1, len(parts)), F.lit(of(one)))
+    records = reduce(DataFrame.unionByName, [x.records(k) for k, x in enumerate(fields)])
+    words = [f"w{k}" for k in range(one.longs)]
+    spark = records.sparkSession
+    count = sum(x.df.count() for x in fields)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * one.bands / PARTITION))
+    schema = ", ".join(["f tinyint, id bigint, node bigint, n int", *[f"{w} bigint" for w in words], "part int, pack binary"])
+    signed = records.mapInArrow(_signer(parts, partitions), schema).persist(StorageLevel.MEMORY_AND_DISK)
+    own = cut(signed.where("part is null").drop("part", "pack"))  # both fill the cache
+    classes = own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("f", "n", *words)], F.min("id").alias("id"))
+    packs = signed.where("part is not null").select("part", "pack").repartitionById(partitions, F.col("part")).select("pack")
+    # a pair has one bucket after another in several partitions; they meet where the sketch of a is
+    met = packs.mapInArrow(_pairing(one.bucket_cap), "a bigint, b bigint, crowded boolean").repartition("a").groupBy("a", "b").agg(F.max("crowded").alias("crowded"))
+    l, r = classes.select(F.col("node").alias("a"), "f", "n", *words, F.col("id").alias("id_a")), classes.select(F.col("node").alias("b"), F.col("n").alias("m"), *[F.col(w).alias(f"{w}_b") for w in words], F.col("id").alias("id_b"))
+    off = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    like = (F.least("n", "m") >= per(lambda p: p.threshold) * F.greatest("n", "m")) & (off <= per(lambda p: p.most_off))
+    close = cut(met.join(l, "a").join(r, "b").where(F.col("crowded") | like).select("a", "b", "f", "id_a", "id_b", "crowded"))
+    signed.unpersist()
+    members = own.select(F.element_at(F.array(*[F.lit(x.name) for x in fields]), F.col("f") + 1).alias("field"), "node", "id").repartition("node").distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return text.join(_sized(ids, spec.broadcast_rows), "id", "left_semi").mapInArrow(_shingled(spec.shingler()), "id bigint, h array<bigint>")
-
-    if not crowd.isEmpty():
-        apart = sketch.join(crowd, "node", "left_semi").select("node", "id")
-        more = _crowded(crowd, sets_of(apart.select("id")).dropDuplicates(["id"]).join(apart, "id").select("node", "h"), spec)
-        ids = sketch.select("node", "id")
-        more = more.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b").select("a", "b", "id_a", "id_b")
-        close = cut(close.unionByName(more).distinct())
-    sets = sets_of(close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
-    both = close.join(sets.toDF("id_a", "h_a"), "id_a").join(sets.toDF("id_b", "h_b"), "id_b")
-    both = both.select("a", "b", F.size("h_a").alias("x"), F.size("h_b").alias("y"), F.size(F.array_intersect("h_a", "h_b")).alias("z"))
-    linked = both.select("a", "b", F.expr("z / (x + y - z)").alias("similarity")).where(F.col("similarity") >= spec.threshold)
-    return members, linked.distinct()  # repeated rows bring their shingles twice
-
-
-def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: the links and classes written out record by record."""
-    m = members
-    across = links.join(m.toDF("a", "x"), "a").join(m.toDF("b", "y"), "b").select("x", "y")
-    within = m.toDF("node", "x").join(m.toDF("node", "y"), "node").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+        """(node, h), several times for repeated rows."""
+        return records.join(_sized(ids, one.broadcast_rows), ["f", "id"], "left_semi").mapInArrow(_shingled(parts), "node bigint, h array<bigint>")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the ``pairs`` (a, b, f, id_a, id_b) at their thresholds."""
+        sets = sets_of(pairs.select("f", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()).dropDuplicates(["node"])
+        both = pairs.join(sets.toDF("a", "h"), "a").join(sets.toDF("b", "g"), "b").select("a", "b", "f", F.size("h").alias("x"), F.size("g").alias("y"), F.size(F.array_intersect("h", "g")).alias("z"))
+        return both.withColumn("similarity", F.expr("z / (x + y - z)")).where(F.col("similarity") >= per(lambda p: p.threshold)).select("a", "b", "similarity")
+
+    crowd = close.where("crowded").select("f", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("id_a").alias("id")), F.struct(F.col("b").alias("node"), F.col("id_b").alias("id")))).alias("x")).select("f", "x.*").distinct()
+    if crowd.isEmpty():
+        return Linked(members, verified(close), False)
+    links = cut(verified(close))
+    sets = cut(sets_of(crowd.select("f", "id")).dropDuplicates(["node"]).join(crowd, "node").select("f", "node", "h"))
+    prefixes = cut(_prefixes(sets, per(lambda p: p.threshold)))
+    alone = None
+    if connected:
+        apart = close.where("crowded").join(links, ["a", "b"], "left_anti").select(F.col("b").alias("node")).distinct()
+        alone = prefixes.join(apart, "node", "left_semi")
+    more = pairs_within(prefixes, "s", "node", alone=alone).distinct()
+    more = more.join(crowd.select(F.col("node").alias("a"), "f", F.col("id").alias("id_a")), "a").join(crowd.select(F.col("node").alias("b"), F.col("id").alias("id_b")), "b")
+    every = links.unionByName(verified(cut(more))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return Linked(members, every.distinct(), True)
+
+
+def record_pairs(linked: Linked) -> DataFrame:
+    """(field, id_a, id_b), id_a < id_b: the links and classes written out record by record.
+
+    The records of a class meet block by block, so that a class of a third of
+    all records is no single task; links of such classes are split as skewed joins.
+    """
+    m = linked.members
+    within = pairs_within(m, "node", "id", ("field",)).select("field", "a", "b")
+    across = linked.links.join(m.select("field", F.col("node").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
+    return within.unionByName(across.select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).withColumnsRenamed({"a": "id_a", "b": "id_b"})
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node connected with node, for every node of ``edges`` (a, b).
 
-    Alternating large-star and small-star; every round is written to the
-    checkpoint folder. Stars are never gathered: each step is a minimum per node
-    (combined before the shuffle) joined back to the edges.
+    Alternating large-star and small-star until nothing changes; every round is
+    written to the checkpoint folder. Stars are never gathered: each step is a
+    minimum per node (combined before the shuffle) joined back to the edges.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     told = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -318,19 +465,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         told = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def groups(df: DataFrame, id_col: str, text_col: str, spec: Similarity) -> DataFrame:
-    """(id, group_id, n_links): one row a record with shingles; group_id is the smallest id it hangs together with, n_links its class's links to other classes."""
-    members, links = class_links(df, id_col, text_col, spec)
-    links = cut(links)
-    roots = components(links.select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    at = members.join(roots, "node", "left").join(degree, "node", "left").select("id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+def groups(fields: list[Field]) -> DataFrame:
+    """(field, id, group_id): one row a record with shingles; group_id is the smallest id of the records it hangs together with."""
+    linked = class_links(fields, connected=True)
+    roots = components(linked.links)
+    at = linked.members.join(roots, "node", "left").select("field", "id", F.coalesce("root", "node").alias("root"))
     first = at.groupBy("root").agg(F.min("id").alias("group_id"))
-    return at.join(first, "root").select("id", "group_id", "n_links")
+    return at.join(first, "root").select("field", "id", "group_id")

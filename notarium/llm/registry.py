@@ -14,16 +14,16 @@ BODY = near_dup.Similarity(kind="words", width=3, least=40, threshold=0.5)
 TITLE = near_dup.Similarity(kind="chars", width=3, threshold=0.5)
 
 
+def _similar(spark: SparkSession, root: str) -> list[near_dup.Field]:
+    return [near_dup.Field("body", table(spark, root, "chunks"), "chunk_id", "body", BODY), near_dup.Field("title", table(spark, root, "notes"), "note_id", "title", TITLE)]
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    body = near_dup.record_pairs(*near_dup.class_links(table(spark, root, "chunks"), "chunk_id", "body", BODY))
-    title = near_dup.record_pairs(*near_dup.class_links(table(spark, root, "notes"), "note_id", "title", TITLE))
-    return body.select(F.lit("body").alias("field"), "id_a", "id_b").unionByName(title.select(F.lit("title").alias("field"), "id_a", "id_b"))
+    return near_dup.record_pairs(near_dup.class_links(_similar(spark, root)))
 
 
 def p1_groups(spark: SparkSession, root: str) -> DataFrame:
-    body = near_dup.groups(table(spark, root, "chunks"), "chunk_id", "body", BODY)
-    title = near_dup.groups(table(spark, root, "notes"), "note_id", "title", TITLE)
-    return body.select(F.lit("body").alias("field"), "id", "group_id", "n_links").unionByName(title.select(F.lit("title").alias("field"), "id", "group_id", "n_links"))
+    return near_dup.groups(_similar(spark, root))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
