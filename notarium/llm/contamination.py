@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.llm import words as wd
-from notarium.llm.near_dup import _GOLD, mix64
+from notarium.llm.hashing import GOLD, mix64
 
 #: Unit words that take a placeholder.
 UNITS = frozenset("ms us ns s sec second seconds min minute minutes h hour hours day days week weeks month months year years b kb mb gb tb byte bytes bit bits percent pct hz khz mhz ghz m km cm mm kg g mg".split())
@@ -62,7 +62,7 @@ def _windows(codes: np.ndarray, width: int) -> np.ndarray:
     h = np.zeros(max(len(codes) - width + 1, 0), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            h = (h + codes[k : k + len(h)]) * _GOLD
+            h = (h + codes[k : k + len(h)]) * GOLD
             h ^= h >> np.uint64(29)
     return mix64(h)
 

@@ -9,39 +9,54 @@ Two passes over the texts, both in Arrow batches with counts combined per task:
   counts how often a frame occurs ended and at all. A text's last unit comes
   out by itself, with what its structure says.
 
-``judged`` joins the last units with the corpus: the trie of known words (as a
-table of prefixes), the frames that end, the frames that go on, and the lengths
-at which a source's texts pile up.
+``judged`` joins the last units with the corpus: the trie of known words, the
+trie of frames, the frames that end, and the lengths at which a source's texts
+pile up. A trie is a table of its nodes, each a rolling 64-bit hash of the
+letters or frame tokens above it, so that a word or unit of any length costs a
+number a letter or token; only the nodes that a last unit asks for are counted.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notarium.llm.hashing import mix64, powers
 from notarium.runtime import cut
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: A number with its inner marks: dates, times, versions, grouped digits.
+_NUMBER = re.compile(r"\d(?:[\d.,:/-]*\d)?")
+_VOCABULARY = re.compile(r"[^\W\d_]+|\d[\d.,:/-]*\d[\d.,:/-]*\d")
 _TOKEN = re.compile(r"`[^`\n]*`|\b0[xX][0-9A-Fa-f]+|[^\W_][\w:]*\w|\w|[^\w\s]")
 _HEX = re.compile(r"0[xX][0-9A-Fa-f]+$")
 _IDENT = re.compile(r"[^_]_[^_]|\w::\w|[^\W\d_A-Z][A-Z]")
 _ITEM = re.compile(r"(?:[-*+]|\d{1,9}[.)])\s+(?:\[[ xX]\]\s+)?")
 _ENDED = re.compile(r"[.!?。！？][\"'”’»)*_\]]*$")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)*_]*\s+")
-#: What field limits and transfers leave behind a cut.
-MARKS = re.compile(r"(?:\s*(?:…|\.\.\.+|[\[(]\s*(?:…|\.\.\.+|truncated|cut|more)\s*[\])]|�+))+\s*$", re.IGNORECASE)
+#: What field limits and transfers leave behind a cut, spelled backwards, so that looking for it begins at the end.
+_SKRAM = re.compile(r"\s*(?:(?:…|\.{3,}|[\])]\s*(?:…|\.{3,}|detacnurt|tuc|erom)\s*[\[(]|\ufffd)\s*)+", re.IGNORECASE)
 _DROPPED = "*_\"'“”‘’«»"
 FLUSH = 400_000
+#: Characters of a text's end that are looked at for marks first; more only where all of them are marks.
+_END = 256
 
 
 def without_marks(body: str) -> str:
-    """``body`` without the marks at its end; they are looked for in its last characters only."""
-    return body[:-256] + MARKS.sub("", body[-256:])
+    """``body`` without the marks at its end."""
+    size = _END
+    while True:
+        found = _SKRAM.match(body[: -size - 1 : -1])
+        if not found or found.end() < min(size, len(body)) or size >= len(body):
+            return body[: len(body) - found.end()] if found else body
+        size *= 2
 
 
 def language_key(lang: Column) -> Column:
@@ -59,7 +74,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = _WORD.findall(without_marks(text.rstrip()).lower())
+            words = _VOCABULARY.findall(without_marks(text.rstrip()).lower())
             # the last word may be a piece of one
             counts[lang].update(words[:-1])
         if sum(map(len, counts.values())) > FLUSH:
@@ -68,7 +83,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(lang, word, n) over ``texts`` (lang, text), the last word of each text left out."""
+    """(lang, word, n) of the words, and numbers of several digits, of ``texts`` (lang, text), the last one of each text left out."""
     some = texts.select("lang", "text").where("text is not null")
     return some.mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -159,6 +174,15 @@ def paragraphs(text: str) -> tuple[list[tuple[str, bool]], str]:
     return list(zip(map(" ".join, out), listed, strict=True)), "fence" if fence else state
 
 
+def _number(unit: str) -> str:
+    """The number at the end of ``unit``, with its inner marks."""
+    k = len(unit)
+    while k and (unit[k - 1].isdecimal() or unit[k - 1] in ".,:/-"):
+        k -= 1
+    found = _NUMBER.search(unit, k)
+    return found.group() if found and found.end() == len(unit) else ""
+
+
 def _outlined(kept: frozenset[str]):
     frames = _Frames(kept)
 
@@ -207,7 +231,12 @@ def _outlined(kept: frozenset[str]):
                 tail = tokens[-1] if tokens else ""
                 word = ""
                 if tail and tail[0] != "`" and how == "loose":
-                    word = f"0x{len(tail) - 2}" if _HEX.match(tail) else (_WORD.findall(tail.lower()) or [""])[-1] if tail[-1].isalpha() else ""
+                    if _HEX.match(tail):
+                        word = f"0x{len(tail) - 2}"
+                    elif tail[-1].isalpha():
+                        word = (_WORD.findall(tail.lower()) or [""])[-1]
+                    elif tail.isdecimal():
+                        word = _number(last)
                 rows.append((at, f, None, None, how, word, body != short, state))
             yield told(rows, sum((len(ended), len(went))) > FLUSH)
         yield told([], True)
@@ -227,27 +256,70 @@ def outlines(texts: DataFrame, kept: frozenset[str]) -> tuple[DataFrame, DataFra
     return frames, both.where("id is not null").select("id", "frame", "how", "word", "marked", "state")
 
 
-def prefixes(frames: DataFrame) -> DataFrame:
-    """(frame, goes_on): how many units have ``frame`` as a proper prefix."""
-    x = frames.where("went > 0").select(F.split("frame", " ").alias("t"), "went").where(F.size("t") > 1)
-    starts = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda k: F.array_join(F.slice("t", F.lit(1), k), " "))
-    return x.select(F.explode(starts).alias("frame"), "went").groupBy("frame").agg(F.sum("went").alias("goes_on"))
+def _nodes(of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: bool):
+    """(node, n) of rows (sequence, n): the trie nodes above a sequence; with ``whole`` its own node too, and only that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, starts = of(batch.column(0).to_pylist())
+            size = np.diff(starts)
+            at = np.arange(len(codes)) - np.repeat(starts[:-1], size)
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * powers(int(size.max(initial=0)))[at], dtype=np.uint64)])
+                node = mix64(sums[1:] - np.repeat(sums[starts[:-1]], size) + at.astype(np.uint64) + np.uint64(1)).view(np.int64)
+            last = at == np.repeat(size, size) - 1
+            keep = last if whole else ~last
+            n = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), size)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n, pa.int64())], names=["node", "n"])
+
+    return run
+
+
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return mix64(flat + np.uint64(1)), np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+
+
+def _tokens(frames: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    lists = [f.split(" ") for f in frames]
+    flat = [xxhash.xxh3_64_intdigest(t) for x in lists for t in x]
+    return np.array(flat, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+
+
+def below(sequences: DataFrame, asked: DataFrame, of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(sequence, n): of the ``asked`` (sequence), those that are an inner node of the trie of ``sequences`` (sequence, n), with the sum of n below.
+
+    ``of`` writes sequences as codes, of letters or of tokens. The result has
+    ``asked`` sequences once; empty ones and those without anything below are missing.
+    """
+    own = asked.select("sequence").where("sequence <> ''").distinct()
+    ask = _keyed(own, of)
+    nodes = sequences.where("sequence <> ''").select("sequence", "n").mapInArrow(_nodes(of, False), "node bigint, n bigint")
+    met = nodes.join(ask.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
+    return ask.join(met, "node").select("sequence", "n")
+
+
+def _keyed(own: DataFrame, of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(sequence, node) of ``own`` (sequence)."""
+    whole = _nodes(of, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for got in whole(iter([pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(batch), np.int64))], names=["sequence", "n"])])):
+                yield pa.RecordBatch.from_arrays([batch.column(0), got.column(0)], names=["sequence", "node"])
+
+    return own.mapInArrow(run, "sequence string, node bigint")
 
 
-def trie(words: DataFrame, longest: int = 40) -> DataFrame:
-    """(prefix, below): the nodes above whole words of a corpus vocabulary down to ``longest`` letters, with the number of words below each."""
-    w = words.select("word").distinct().where(F.length("word") >= 2)
-    depths = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest)))
-    return w.select(F.explode(F.transform(depths, lambda k: F.substring("word", F.lit(1), k))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("below"))
+def beginnings(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(word) of the ``tokens`` (word) that start a longer one of ``words``."""
+    return below(words.select(F.col("word").alias("sequence")).distinct().withColumn("n", F.lit(1).cast("bigint")), tokens.select(F.col("word").alias("sequence")), _letters).select(F.col("sequence").alias("word"))
 
 
-def beginnings(tokens: DataFrame, words: DataFrame, longest: int = 40) -> DataFrame:
-    """(word) of the ``tokens`` (word) that start a longer one of ``words``; those of over ``longest`` letters are looked up in a join of their own."""
-    short = tokens.join(trie(words, longest).withColumnRenamed("prefix", "word"), "word", "left_semi")
-    top = lambda c: F.substring(c, 1, longest).alias("top")
-    deep = tokens.where(F.length("word") > longest).select("word", top("word")).alias("t")
-    long = words.select("word").distinct().where(F.length("word") > longest + 1).select("word", top("word")).alias("w")
-    return short.unionByName(deep.join(long, F.expr("t.top = w.top and length(w.word) > length(t.word) and startswith(w.word, t.word)"), "left_semi").select("word"))
+def prefixes(frames: DataFrame, asked: DataFrame) -> DataFrame:
+    """(frame, goes_on) of ``asked`` (frame): how many units of ``frames`` (frame, went) have it as a proper prefix; none are left out."""
+    units = frames.where("went > 0").select(F.col("frame").alias("sequence"), F.col("went").alias("n"))
+    return below(units, asked.select(F.col("frame").alias("sequence")), _tokens).select(F.col("sequence").alias("frame"), F.col("n").alias("goes_on"))
 
 
 def limits(sized: DataFrame, least: int = 3, share: float = 0.25) -> DataFrame:
@@ -262,7 +334,7 @@ def limits(sized: DataFrame, least: int = 3, share: float = 0.25) -> DataFrame:
     return n.where((F.col("n_cut") >= least) & (F.col("n_cut") >= share * F.col("n"))).select("source", "kind", "size")
 
 
-def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest: int = 3, sure: int = 10) -> DataFrame:
+def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest: int = 3, sure: int = 10, continued: Callable[[DataFrame, DataFrame], DataFrame] = prefixes, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Whether and why a text counts as cut: one row for each of ``texts`` (id, text, lang, source; other columns are dropped).
 
     Columns id, source, how, state, marked, frame, word, ended, goes_on,
@@ -285,8 +357,8 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     frames, tails = outlines(texts, skeleton_words(words, share))
     tails = tails.dropDuplicates(["id"])
     loose = tails.where("how = 'loose'").select("id", "frame", "word", F.regexp_replace("frame", " ?[^ ]+$", "").alias("parent"))
-    known = words.select("word").distinct()
     tokens = loose.where("word <> ''").select("word").distinct()
+    known = words.join(F.broadcast(tokens) if tokens.count() <= broadcast_rows else tokens, "word", "left_semi").select("word").distinct()
     shapes = frames.select(F.explode(F.regexp_extract_all("frame", F.lit(r"\bH(\d+)"), 1)).alias("k"), "went").groupBy("k").agg(F.sum("went").alias("n")).where("length(k) < 4")
     usual = {int(r.k): r.n for r in shapes.collect()}
     whole = {k for k, n in usual.items() if n >= 0.02 * sum(usual.values())}
@@ -294,11 +366,15 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     begun = beginnings(tokens, words).join(known.withColumn("known", F.lit(True)), "word", "left")
     begun = begun.select("word", F.lit(True).alias("begins"), F.col("known").isNull().alias("partial"))
     begun = begun.unionByName(tokens.where(F.col("word").isin(*hexes)).select("word", F.lit(True).alias("begins"), F.lit(True).alias("partial")))
-    on = prefixes(frames)
-    x = loose.join(begun, "word", "left").join(frames.select("frame", "ended"), "frame", "left").join(on, "frame", "left").join(on.toDF("parent", "before"), "parent", "left")
+    asked = cut(loose.select("frame").union(loose.select("parent")).where("frame <> ''").distinct())
+    on = continued(frames, asked)
+    told = frames.join(asked, "frame", "left_semi").select("frame", "ended").join(on, "frame", "full_outer")
+    # texts without a last word or frame would all meet in one task
+    alone = lambda c: F.when(F.col(c) == "", F.concat(F.lit("\x00"), F.col("id").cast("string"))).otherwise(F.col(c)).alias(c)
+    x = loose.select("id", *map(alone, ("frame", "word", "parent"))).join(begun, "word", "left").join(told, "frame", "left").join(on.toDF("parent", "before"), "parent", "left")
     x = x.select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("begins", "partial")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ended", "goes_on", "before")])
     broken = (F.col("goes_on") >= fewest) & (F.col("ended") < F.greatest(F.lit(1.0), ratio * F.col("goes_on")))
-    stray = F.col("begins") & ~F.col("frame").endswith("I") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
+    stray = F.col("begins") & F.col("word").rlike(r"\p{L}") & ~F.col("frame").endswith("I") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
     open_, no_end = F.col("how").isin("fence", "row", "open", "byte"), F.col("how") == "loose"
     may_stop = no_end | ((F.col("how") == "ended") & F.col("state").isin("whole row", "heading", "closed"))
     at = texts.select("id", "source", F.xxhash64("text").alias("h"), F.struct(F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).alias("size")).dropDuplicates(["id"])

@@ -32,24 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notarium.llm import words as wd
+from notarium.llm.hashing import GOLD, mix64
 from notarium.runtime import cut
 
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Band keys that a task packs at a time, and that a partition of them is made for.
 PACKED, PARTITION = 1 << 20, 1 << 21
 #: Members of a class, or holders of a shingle, that meet in one task.
 BLOCK = 512
 #: Shingle sets that a task remembers, to leave out the bands of their copies.
 REMEMBERED = 1_000_000
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-        x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
 
 
 def word_shingles(texts: list[str | None], width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +57,7 @@ def char_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
         codes.append(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32))
         starts.append(starts[-1] + len(codes[-1]))
     flat = np.concatenate(codes).astype(np.uint64) if codes else np.zeros(0, np.uint64)
-    return _rolled(mix64(flat * _GOLD + np.uint64(1)), np.array(starts), width, width)
+    return _rolled(mix64(flat * GOLD + np.uint64(1)), np.array(starts), width, width)
 
 
 def _rolled(codes: np.ndarray, starts: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +68,7 @@ def _rolled(codes: np.ndarray, starts: np.ndarray, width: int, least: int) -> tu
     h = np.zeros(len(codes) - width + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            h = (h + codes[k : k + len(h)]) * _GOLD
+            h = (h + codes[k : k + len(h)]) * GOLD
             h ^= h >> np.uint64(29)
     h = mix64(h)
     per = np.where(n >= least, np.maximum(n - width + 1, 0), 0)
@@ -136,7 +127,7 @@ def _signer(parts: list[Similarity], partitions: int):
         for k in range(one.bands * one.rows):
             np.add(np.multiply(x, a[k], out=hashed), b[k], out=hashed)
             m = np.minimum.reduceat(hashed, at)
-            keys[k // one.rows] = mix64(keys[k // one.rows] * _GOLD + m + np.uint64(k // one.rows + 1))
+            keys[k // one.rows] = mix64(keys[k // one.rows] * GOLD + m + np.uint64(k // one.rows + 1))
             if k < longs * 64:
                 bits[k // 64] |= ((m >> np.uint32(12)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
         node = _node(h, at, f)
@@ -174,7 +165,7 @@ def _signer(parts: list[Similarity], partitions: int):
 
 def _node(h: np.ndarray, at: np.ndarray, f: int) -> np.ndarray:
     """One hash for each of the sets of hashes that begin ``at``."""
-    return mix64((np.add.reduceat(mix64(h + _GOLD), at) ^ mix64(np.bitwise_xor.reduceat(mix64(h ^ _GOLD), at))) + np.uint64(f))
+    return mix64((np.add.reduceat(mix64(h + GOLD), at) ^ mix64(np.bitwise_xor.reduceat(mix64(h ^ GOLD), at))) + np.uint64(f))
 
 
 def _shingled(parts: list[Similarity]):

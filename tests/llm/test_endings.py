@@ -75,9 +75,34 @@ def test_beginnings_against_brute_force(spark):
     asked = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(150)}
     df = lambda w: spark.createDataFrame([(x,) for x in sorted(w)], "word string")
     want = {t for t in asked if any(w != t and w.startswith(t) for w in known)}
-    for longest in (2, 4, 40):
-        got = [r.word for r in endings.beginnings(df(asked), df(known), longest).collect()]
-        assert set(got) == want and len(got) == len(want)
+    got = [r.word for r in endings.beginnings(df(asked), df(known)).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_prefixes_against_brute_force(spark):
+    rng = random.Random(8)
+    units = [" ".join(rng.choice("ab_") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    asked = {" ".join(rng.choice("ab_") for _ in range(rng.randrange(1, 7))) for _ in range(60)}
+    frames = {u: units.count(u) for u in units}
+    want = {a: n for a in asked if (n := sum(m for u, m in frames.items() if u.startswith(a + " ")))}
+    f = spark.createDataFrame(list(frames.items()), "frame string, went bigint")
+    got = endings.prefixes(f, spark.createDataFrame([(a,) for a in sorted(asked)], "frame string")).collect()
+    assert {r.frame: r.goes_on for r in got} == want and len(got) == len(want)
+
+
+def test_marks_at_the_end():
+    for mark in ("…", " ...", " [...]", " [ truncated ]", "(More)", "…\n\n [cut]  ", "\ufffd\ufffd", " …" * 5000, "." * 9000, " " * 3000 + "…"):
+        assert endings.without_marks("some words" + mark) == "some words"
+    for whole in ("some words", "some words.", "", "a [link]", "x" * 1000 + " cut", "ends.."):
+        assert endings.without_marks(whole) == whole
+    assert endings.without_marks("…" * 10_000) == ""
+
+
+def test_a_sentence_of_very_many_words(spark):
+    """Linear in its words: 200,000 of them, and a last unit that stops inside the same sentence."""
+    words = [f"w{i % 997}" for i in range(200_000)]
+    got = judge(spark, [(7000, " ".join(words) + ".", "en", "s"), (7001, " ".join(words[:100_000]), "en", "s")])
+    assert set(got) >= {7000, 7001} and not got[7000]
 
 
 def test_gaps(spark):
