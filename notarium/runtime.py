@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +35,39 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Names a checkpoint folder only where the cluster has named none (tests, local runs)."""
+    """Names a checkpoint folder only where the cluster has named none and all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "notarium-checkpoints"))
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or _own_folder())
+
+
+@cache
+def _own_folder() -> str:
+    at = tempfile.mkdtemp(prefix="notarium-checkpoints-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
+
+
+#: Spark's switch that removes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialises ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    What its shuffles left on the executors' disks is removed then, as nothing reads it again.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 _SHIPPED: set[str] = set()
@@ -55,7 +79,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="notarium-")) / "notarium_package.zip"
+    folder = tempfile.mkdtemp(prefix="notarium-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "notarium_package.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
