@@ -32,9 +32,9 @@ from notarium.llm.hashing import mix64, powers
 from notarium.runtime import cut
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: A number with its inner marks: dates, times, versions, grouped digits.
-_NUMBER = re.compile(r"\d(?:[\d.,:/-]*\d)?")
-_VOCABULARY = re.compile(r"[^\W\d_]+|\d[\d.,:/-]*\d[\d.,:/-]*\d")
+#: A number of three digits or more with its inner marks: dates, times, versions, grouped digits.
+_NUMBER = re.compile(r"\d[.,:/-]*\d(?:[\d.,:/-]*\d)")
+_VOCABULARY = re.compile(r"[^\W\d_]+|" + _NUMBER.pattern)
 _TOKEN = re.compile(r"`[^`\n]*`|\b0[xX][0-9A-Fa-f]+|[^\W_][\w:]*\w|\w|[^\w\s]")
 _HEX = re.compile(r"0[xX][0-9A-Fa-f]+$")
 _IDENT = re.compile(r"[^_]_[^_]|\w::\w|[^\W\d_A-Z][A-Z]")
@@ -342,7 +342,8 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     if its structure is open (fence, table row, code span, link, half a
     character); or if its last unit has no end and either
 
-    * its last word is unknown and starts known words,
+    * its last word is unknown and starts known words (a number of three digits
+      or more: known numbers, where no unit like its own has ended),
     * its frame goes on elsewhere (at least ``fewest`` times) and ends there in
       less than ``ratio`` of the cases,
     * its last word starts known words, and its frame occurs nowhere though it
@@ -373,12 +374,13 @@ def judged(texts: DataFrame, share: float = 0.004, ratio: float = 0.05, fewest:
     alone = lambda c: F.when(F.col(c) == "", F.concat(F.lit("\x00"), F.col("id").cast("string"))).otherwise(F.col(c)).alias(c)
     x = loose.select("id", *map(alone, ("frame", "word", "parent"))).join(begun, "word", "left").join(told, "frame", "left").join(on.toDF("parent", "before"), "parent", "left")
     x = x.select("id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("begins", "partial")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ended", "goes_on", "before")])
+    numeric = ~F.col("word").rlike(r"\p{L}")
     broken = (F.col("goes_on") >= fewest) & (F.col("ended") < F.greatest(F.lit(1.0), ratio * F.col("goes_on")))
-    stray = F.col("begins") & F.col("word").rlike(r"\p{L}") & ~F.col("frame").endswith("I") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
+    stray = F.col("begins") & ~F.coalesce(numeric, F.lit(True)) & ~F.col("frame").endswith("I") & (F.col("goes_on") == 0) & (F.col("ended") == 0) & (F.col("before") >= sure)
     open_, no_end = F.col("how").isin("fence", "row", "open", "byte"), F.col("how") == "loose"
     may_stop = no_end | ((F.col("how") == "ended") & F.col("state").isin("whole row", "heading", "closed"))
     at = texts.select("id", "source", F.xxhash64("text").alias("h"), F.struct(F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).alias("size")).dropDuplicates(["id"])
-    y = at.join(tails, "id").join(x, "id", "left").withColumn("evident", F.coalesce(open_ | (no_end & (F.col("partial") | broken | stray)), F.lit(False)))
+    y = at.join(tails, "id").join(x, "id", "left").withColumn("evident", F.coalesce(open_ | (no_end & ((F.col("partial") & (~numeric | (F.col("ended") == 0))) | broken | stray)), F.lit(False)))
     y = cut(y)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"size.{k}").alias("size")) for k in ("chars", "bytes")]))
     sized = y.select("id", "source", "h", "evident", "how", "state", each.alias("s")).select("id", "source", "h", "evident", "how", "state", "s.*")
