@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notarium.functions import dates
+from notarium.operators.index import dense_ids
+from notarium.runtime import cut
 
 
 @dataclass(frozen=True)
@@ -63,16 +65,20 @@ def blocks(notes: DataFrame, opt: DigestOptions) -> DataFrame:
     return out.where(F.col("date") >= F.lit(opt.since)) if opt.since else out
 
 
+def document(notes: DataFrame, opt: DigestOptions) -> DataFrame:
+    """(pos, text): the digest's blocks in order from 1 on, a group's first one with the group's heading; newest first, notes without a date last."""
+    rows = blocks(notes, opt).withColumn("\x02d", F.coalesce(-F.unix_micros("date"), F.lit((1 << 63) - 1)))
+    placed = dense_ids(rows, ["group", "\x02d", "path"], "pos")
+    first = placed.groupBy("group").agg(F.min("pos").alias("first"))
+    head = F.when(F.col("pos") == F.col("first"), F.concat(F.lit("## "), "group", F.lit("\n\n"))).otherwise("")
+    return placed.join(first, "group").select("pos", F.concat(head, "block").alias("text"))
+
+
 def render(notes: DataFrame, opt: DigestOptions) -> Iterator[str]:
     """The digest in pieces, read partition by partition."""
-    rows = blocks(notes, opt).persist()
+    rows = cut(document(notes, opt))
     now = opt.now or datetime.now(UTC)
     since = f", changes since {opt.since:%Y-%m-%d}" if opt.since else ""
     yield f"# {opt.title or 'Notes map'}\n\n_Generated {now:%Y-%m-%d %H:%M}{since}. Files: {rows.count()}._\n\n"
-    group = None
-    for r in rows.orderBy("group", F.desc_nulls_last("date"), "path").toLocalIterator():
-        if r.group != group:
-            group = r.group
-            yield f"## {group}\n\n"
-        yield r.block
-    rows.unpersist()
+    for r in rows.orderBy("pos").toLocalIterator():
+        yield r.text

@@ -48,14 +48,15 @@ def facets(notes: DataFrame, fields: list[str] | None = None, max_values: int =
     return shown.select("field_rank", "field", "value_rank", "value", "n").unionByName(unset.select("field_rank", "field", last.alias("value_rank"), "value", "n"))
 
 
+def report_lines(stats: DataFrame, shown: DataFrame) -> DataFrame:
+    """(field_rank, value_rank, line): the printed form, one line of totals, then each field's name (place 0) and its values."""
+    total = stats.select(F.lit(0).alias("field_rank"), F.lit(0).alias("value_rank"), F.format_string("files %d · chunks %d · terms %d · avg chunk length %.0f tokens", "n_notes", "n_chunks", "n_terms", "avg_len").alias("line"))
+    names = shown.select("field_rank", F.lit(0).alias("value_rank"), F.concat("field", F.lit(":")).alias("line")).distinct()
+    padded = F.when(F.length("value") < 24, F.rpad("value", 24, " ")).otherwise(F.col("value"))
+    return total.unionByName(names).unionByName(shown.select("field_rank", "value_rank", F.concat(F.lit("  "), padded, F.lit(" "), F.col("n").cast("string")).alias("line")))
+
+
 def report(stats: DataFrame, shown: DataFrame) -> str:
-    """The printed form; its length is bounded by the fields and values shown."""
-    s = stats.first()
-    out = [f"files {s.n_notes} · chunks {s.n_chunks} · terms {s.n_terms} · avg chunk length {s.avg_len:.0f} tokens"]
-    field = None
-    for r in shown.orderBy("field_rank", "value_rank").toLocalIterator():
-        if r.field != field:
-            field = r.field
-            out += ["", f"{field}:"]
-        out.append(f"  {r.value:<24} {r.n}")
-    return "\n".join(out) + "\n"
+    """The printed form as text; its length is bounded by the fields and values shown."""
+    rows = report_lines(stats, shown).orderBy("field_rank", "value_rank").toLocalIterator()
+    return "".join("\n" * (r.field_rank > 0 and r.value_rank == 0) + r.line + "\n" for r in rows)

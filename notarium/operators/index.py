@@ -1,21 +1,21 @@
 """The index: notes, chunks, postings, document lengths and totals, as versioned Parquet tables.
 
 A version is a folder ``v=N`` with one folder a table; the file ``CURRENT`` names
-the version that counts and is replaced atomically once all tables of the next
-one are written. A refresh reads the listing against the stored hashes, parses
-what is new or changed and carries over the rest.
+the versions whose folders make up each table and is replaced once those of the
+next one are written. A refresh reads the listing against the stored hashes,
+parses what is new or changed, and adds that and the ids of dead chunks as a
+version of its own; when over a fifth of all chunks are dead, all is written
+anew. Folders may be in any file system that Spark can reach.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from notarium.functions.markdown import parsed
 from notarium.functions.terms import Expansions, raw_tokens
+from notarium.runtime import cut
 from notarium.sources import files
 
 NOTES = "path string, hash string, mtime timestamp, title string, meta map<string,array<string>>, headings array<string>, lead string, summary string, sum_hash string"
@@ -106,8 +107,6 @@ def numbered(sections: DataFrame, after: int = 0) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
     """``df`` with row numbers from ``after`` + 1 on in ``name``, by ``order``, which must tell all rows apart."""
-    from notarium.runtime import cut
-
     part, within = "\x02part", "\x02within"
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(within, F.monotonically_increasing_id()))
     # the identifier is the partition's number, shifted, plus the row's number in it
@@ -140,46 +139,122 @@ def default_path(root: str) -> str:
     return os.path.join(root, ".notarium", "index")
 
 
-def current(place: str) -> int:
-    """The version that counts. ``NoIndex`` where there is none; anything unreadable is an error of its own."""
-    pointer = Path(place, "CURRENT")
-    if not pointer.exists():
+#: Tables whose rows belong to a chunk: versions add to them, and dead chunks drop out on reading.
+BY_CHUNK = ("chunks", "postings", "doc_len")
+DEAD = "chunk_id bigint"
+#: An index with more than one dead chunk for so many live ones is written anew.
+DEAD_SHARE = 4
+
+
+class _Files:
+    """The few files that are no tables, by Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, place: str) -> None:
+        self.fs_ = spark._jvm.org.apache.hadoop.fs
+        self.io = spark._jvm.org.apache.commons.io.IOUtils
+        self.gateway, self.conf = spark._sc._gateway, spark._jsc.hadoopConfiguration()
+        self.place = place
+        self.fs = self.path("").getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.fs_.Path(os.path.join(self.place, name) if name else self.place)
+
+    def read(self, name: str) -> str | None:
+        at = self.path(name)
+        if not self.fs.exists(at):
+            return None
+        stream = self.fs.open(at)
+        try:
+            return self.io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Readers see the old text or the new one."""
+        out = self.fs.create(self.path(f"{name}.tmp"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        how = self.gateway.new_array(getattr(self.gateway.jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+        how[0] = getattr(self.gateway.jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+        self.fs_.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(f"{name}.tmp"), self.path(name), how)
+
+    def versions(self) -> list[int]:
+        return [int(x.getPath().getName()[2:]) for x in self.fs.globStatus(self.path("v=*")) or []]
+
+    def remove(self, version: int) -> None:
+        self.fs.delete(self.path(f"v={version}"), True)
+
+
+def _pointer(spark: SparkSession, place: str) -> dict:
+    text = _Files(spark, place).read("CURRENT")
+    if text is None:
         raise NoIndex(place)
-    return int(json.loads(pointer.read_text())["version"])
+    got = json.loads(text)
+    return {"version": int(got["version"]), "parts": {k: [int(v) for v in vs] for k, vs in got["parts"].items()}}
+
+
+def current(spark: SparkSession, place: str) -> int:
+    """The version that counts. ``NoIndex`` where there is none; anything unreadable is an error of its own."""
+    return _pointer(spark, place)["version"]
 
 
 def load(spark: SparkSession, place: str) -> Index:
-    at = os.path.join(place, f"v={current(place)}")
-    return Index(*(spark.read.schema(schema).parquet(os.path.join(at, name)) for name, schema in SCHEMAS.items()))
+    parts = _pointer(spark, place)["parts"]
+    read = lambda name, schema: spark.read.schema(schema).parquet(*[os.path.join(place, f"v={v}", name) for v in parts[name]])
+    own = {name: read(name, schema) for name, schema in SCHEMAS.items()}
+    if parts["dead"]:
+        dead = read("dead", DEAD)
+        own |= {name: own[name].join(dead, "chunk_id", "left_anti").select(*own[name].columns) for name in BY_CHUNK}
+    return Index(**own)
 
 
 def empty(spark: SparkSession) -> Index:
     return Index(*(spark.createDataFrame([], schema) for schema in SCHEMAS.values()))
 
 
-def save(index: Index, place: str, keep: int = 2) -> int:
-    """Writes ``index`` as the next version and makes it the one that counts; the version's number.
+def _written(df: DataFrame, place: str, version: int, name: str) -> None:
+    if name == "postings":  # so that a query's terms prune row groups
+        df = df.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    df.write.mode("overwrite").parquet(os.path.join(place, f"v={version}", name))
 
-    Postings are sorted by term over ranges, so that a query's terms prune row
-    groups. Nothing that a reader may be using changes before the pointer does.
-    """
+
+def _publish(spark: SparkSession, place: str, version: int, parts: dict[str, list[int]]) -> int:
+    """Makes a version the one that counts. Folders stay that it or the one before names, as readers may be using them."""
+    own = _Files(spark, place)
+    before = own.read("CURRENT")
+    own.replace("CURRENT", json.dumps({"version": version, "parts": parts}))
+    used = {version, *chain.from_iterable(parts.values()), *(chain.from_iterable(json.loads(before)["parts"].values()) if before else ())}
+    for old in own.versions():
+        if old not in used:
+            own.remove(old)
+    return version
+
+
+def _next(spark: SparkSession, place: str) -> tuple[int, dict[str, list[int]] | None]:
     try:
-        version = current(place) + 1
+        was = _pointer(spark, place)
     except NoIndex:
-        version = 1
-    at = os.path.join(place, f"v={version}")
+        return 1, None
+    return was["version"] + 1, was["parts"]
+
+
+def save(index: Index, place: str) -> int:
+    """Writes all of ``index`` as the next version and makes it the one that counts; the version's number."""
+    spark = index.notes.sparkSession
+    version = _next(spark, place)[0]
     for name in SCHEMAS:
-        df = getattr(index, name)
-        if name == "postings":
-            df = df.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
-        df.write.mode("overwrite").parquet(os.path.join(at, name))
-    temp = Path(place, "CURRENT.tmp")
-    temp.write_text(json.dumps({"version": version}))
-    temp.replace(Path(place, "CURRENT"))
-    for old in Path(place).glob("v=*"):
-        if int(old.name[2:]) <= version - keep:
-            shutil.rmtree(old, ignore_errors=True)
-    return version
+        _written(getattr(index, name), place, version, name)
+    return _publish(spark, place, version, {**{name: [version] for name in SCHEMAS}, "dead": []})
+
+
+def save_notes(notes: DataFrame, place: str) -> int:
+    """The next version differs in its notes only, which keep their paths and hashes."""
+    spark = notes.sparkSession
+    version, parts = _next(spark, place)
+    if parts is None:
+        raise NoIndex(place)
+    _written(notes, place, version, "notes")
+    return _publish(spark, place, version, {**parts, "notes": [version]})
 
 
 @dataclass(frozen=True)
@@ -189,41 +264,82 @@ class Refresh:
     removed: int
 
 
-def refreshed(before: Index, listing: DataFrame) -> tuple[Index, DataFrame]:
-    """(index, changes) of ``listing`` (path, hash, mtime, text) on top of ``before``.
+@dataclass(frozen=True)
+class Delta:
+    """What a listing changes: all ``notes`` after it, the new ``chunks``, the ids of ``dead`` ones, and the change of each path."""
+
+    notes: DataFrame
+    chunks: DataFrame
+    dead: DataFrame
+    changed: DataFrame
+
+
+def delta(before: Index, listing: DataFrame) -> Delta:
+    """What ``listing`` (path, hash, mtime, text) changes in ``before``; new notes are parsed once.
 
     Unchanged notes keep their chunks and their stored mtime; updated ones keep
     their summaries and get new chunk ids after all others.
     """
-    changed = changes(listing, before.notes)
+    changed = cut(changes(listing, before.notes))
     fresh = listing.join(changed.where("change in ('added', 'updated')").select("path"), "path", "left_semi")
     gone = changed.where("change in ('updated', 'removed')").select("path")
     kept = before.notes.join(gone, "path", "left_anti")
-    new = notes_and_sections(fresh)
+    new = cut(notes_and_sections(fresh))
     told = before.notes.select("path", F.col("summary").alias("s"), F.col("sum_hash").alias("h"))
     new_notes = new.drop("sections").join(told, "path", "left").select("path", "hash", "mtime", "title", "meta", "headings", "lead", F.col("s").alias("summary"), F.col("h").alias("sum_hash"))
     last = before.chunks.agg(F.max("chunk_id")).first()[0] or 0
-    new_chunks = numbered(new, last)
-    dropped = before.chunks.join(gone, "path", "left_semi").select("chunk_id")
-    chunks = before.chunks.join(gone, "path", "left_anti").unionByName(new_chunks)
-    posted = before.postings.join(dropped, "chunk_id", "left_anti").unionByName(postings(new_chunks))
-    lengths = before.doc_len.join(dropped, "chunk_id", "left_anti").unionByName(doc_lengths(postings(new_chunks)))
-    notes = kept.select(*new_notes.columns).unionByName(new_notes)
-    return Index(notes, chunks, posted, lengths, corpus_stats(notes, chunks, posted)), changed
+    dead = before.chunks.join(gone, "path", "left_semi").select("chunk_id")
+    return Delta(kept.select(*new_notes.columns).unionByName(new_notes), numbered(new, last), dead, changed)
 
 
-def build(spark: SparkSession, root: str, place: str | None = None, opt: files.CrawlOptions | None = None, read: Callable[[str], bytes] = files.read_bytes) -> Refresh:
-    """Builds or refreshes the index of the notes below ``root``. A file that can't be read leaves the index as it was."""
-    from notarium.runtime import cut
+def refreshed(before: Index, listing: DataFrame) -> tuple[Index, DataFrame]:
+    """(index, changes) of ``listing`` on top of ``before``, without a place to write to."""
+    d = delta(before, listing)
+    dead, posted_new = cut(d.dead), cut(postings(d.chunks))
+    live = lambda df: df.join(dead, "chunk_id", "left_anti").select(*df.columns)
+    chunks, posted = live(before.chunks).unionByName(d.chunks), live(before.postings).unionByName(posted_new)
+    return Index(d.notes, chunks, posted, live(before.doc_len).unionByName(doc_lengths(posted_new)), corpus_stats(d.notes, chunks, posted)), d.changed
 
-    place = place or default_path(root)
+
+def refresh(spark: SparkSession, place: str, listing: Callable[[Index], DataFrame]) -> Refresh:
+    """Brings the index at ``place`` to what ``listing`` gives for it, as a version that adds to the one before, or anew where there is none or too much is dead."""
     try:
-        before = load(spark, place)
+        before, first = load(spark, place), False
     except NoIndex:
-        before = empty(spark)
+        before, first = empty(spark), True
+    d = delta(before, listing(before))
+    n = change_counts(d.changed).first()
+    got = Refresh(n.added, n.updated, n.removed)
+    if not first and got == Refresh(0, 0, 0):
+        return got
+    version, parts = _next(spark, place)
+    parts = parts or {name: [] for name in (*SCHEMAS, "dead")}
+    if parts["chunks"]:
+        _written(d.dead, place, version, "dead")
+        parts["dead"] = [*parts["dead"], version]
+    at = lambda name, schema: spark.read.schema(schema).parquet(os.path.join(place, f"v={version}", name))
+    _written(d.chunks, place, version, "chunks")
+    _written(postings(at("chunks", CHUNKS)), place, version, "postings")
+    _written(doc_lengths(at("postings", POSTINGS)), place, version, "doc_len")
+    _written(d.notes, place, version, "notes")
+    parts = {**parts, **{name: [*parts[name], version] for name in BY_CHUNK}, "notes": [version], "corpus_stats": [version]}
+    whole = lambda name, schema: spark.read.schema(schema).parquet(*[os.path.join(place, f"v={v}", name) for v in parts[name]])
+    chunks, posted = whole("chunks", CHUNKS), whole("postings", POSTINGS)
+    n_dead = 0
+    if parts["dead"]:
+        dead = whole("dead", DEAD)
+        n_dead = dead.count()
+        chunks, posted = chunks.join(dead, "chunk_id", "left_anti"), posted.join(dead, "chunk_id", "left_anti")
+    stats = cut(corpus_stats(at("notes", NOTES), chunks, posted))
+    _written(stats, place, version, "corpus_stats")
+    _publish(spark, place, version, parts)
+    if n_dead * DEAD_SHARE > stats.first().n_chunks:
+        save(load(spark, place), place)
+    return got
+
+
+def build(spark: SparkSession, root: str, place: str | None = None, opt: files.CrawlOptions | None = None, read: Callable[[str], bytes] = files.read_bytes) -> Refresh:
+    """Builds or refreshes the index of the notes below ``root``. A file that can't be read leaves the index as it was."""
     given = opt or files.CrawlOptions()
-    listing = cut(files.crawl(spark, root, files.CrawlOptions(given.extensions, (*given.exclude, files.DIGEST_FILE)), read))
-    index, changed = refreshed(before, listing)
-    n = change_counts(changed).first()
-    save(index, place)
-    return Refresh(n.added, n.updated, n.removed)
+    options = files.CrawlOptions(given.extensions, (*given.exclude, files.DIGEST_FILE))
+    return refresh(spark, place or default_path(root), lambda _: cut(files.crawl(spark, root, options, read)))

@@ -88,18 +88,33 @@ def _literal_rows(queries: dict[int, str]) -> list[tuple[int, int, str, int, str
     return [(q, n, lit, i, t) for q, text in queries.items() if terms.tokenize(text) for n, lit in enumerate(terms.literal_terms(text)) for i, t in enumerate(terms.tokenize(lit))]
 
 
+def narrowed(index: Index, queries: dict[int, str]) -> Index:
+    """``index`` with the postings of the queries' terms only, read once; document lengths and totals stay those of the whole."""
+    wanted = _own_terms(queries) | {r[-1] for r in _literal_rows(queries)}
+    return replace(index, postings=cut(_posted(index, wanted)))
+
+
 def bm25(index: Index, queries: dict[int, str], live: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all live chunks with a term of the query."""
     spark = index.postings.sparkSession
-    q = query_terms(spark, queries)
-    p = _posted(index, _own_terms(queries))
+    return _scored(index, query_terms(spark, queries), _posted(index, _own_terms(queries)), live, sum(map(len, queries.values())) <= BROADCAST_TERMS)
+
+
+def bm25_of(index: Index, asked: DataFrame, live: DataFrame) -> DataFrame:
+    """The same for a table of queries (query_id, text) of any size."""
+    q = asked.select("query_id", F.posexplode(F.array_distinct(tx.tokenize(F.col("text")))).alias("pos", "term"))
+    q = cut(q.dropDuplicates(["query_id", "term"]))
+    return _scored(index, q, index.postings.join(q.select("term").distinct(), "term", "left_semi"), live, False)
+
+
+def _scored(index: Index, q: DataFrame, p: DataFrame, live: DataFrame, few: bool) -> DataFrame:
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     totals = F.broadcast(index.corpus_stats.select("n_chunks", "avg_len"))  # one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = df.join(totals, F.lit(True)).select("term", idf.alias("idf"), "avg_len")
     weighted = q.join(weighted, "term")
     hits = p.join(live.select("chunk_id"), "chunk_id", "left_semi").join(index.doc_len, "chunk_id", "left")
-    hits = hits.join(F.broadcast(weighted) if sum(map(len, queries.values())) <= BROADCAST_TERMS else weighted, "term")
+    hits = hits.join(F.broadcast(weighted) if few else weighted, "term")
     tf, length = F.col("tf").cast("double"), F.coalesce(F.col("len"), F.lit(0)).cast("double")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.col("avg_len")))
     parts = hits.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("s")))).alias("x"))  # at most a query's terms
@@ -137,25 +152,35 @@ def ranked(hits: DataFrame, most: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= most) if most else out
 
 
-def _places(hits: DataFrame, top: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, rank) of the ``wanted`` (query_id, chunk_id) in ``hits``, of which ``top`` has the first places."""
+def _places(hits: DataFrame, top: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """(query_id, chunk_id, rank) of the ``wanted`` (query_id, chunk_id) in ``hits``, of which ``top`` has the first places.
+
+    Those behind the first places cut their query's list into steps. Each hit
+    falls into one step, steps are counted in the tasks and summed up, so that
+    no query's hits meet in one task. ``few`` steps are broadcast.
+    """
     inside = top.join(wanted, ["query_id", "chunk_id"], "left_semi").select("query_id", "chunk_id", "rank")
     far = wanted.join(top, ["query_id", "chunk_id"], "left_anti").join(hits, ["query_id", "chunk_id"])
-    better = F.expr("h.score > f.score or (h.score = f.score and h.chunk_id < f.chunk_id)")
-    behind = hits.alias("h").join(far.alias("f"), (F.col("h.query_id") == F.col("f.query_id")) & better)
-    counted = behind.groupBy(F.col("f.query_id").alias("query_id"), F.col("f.chunk_id").alias("chunk_id")).agg((F.count("*") + 1).cast("int").alias("rank"))
-    return inside.unionByName(counted)
-
-
-def fused(bm: DataFrame, lit: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, exact, rank): both lists fused, the first ``k`` (all if it isn't positive)."""
+    at = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    steps = cut(far.select("query_id", "chunk_id", F.col("score").alias("s"), F.lag("score").over(at).alias("s0"), F.lag("chunk_id").over(at).alias("c0"), F.row_number().over(at).alias("step")))
+    ends = steps.withColumnRenamed("chunk_id", "c")
+    ahead = lambda s, c: f"(score > {s} or (score = {s} and chunk_id < {c}))"
+    within = hits.join(F.broadcast(ends) if few else ends, "query_id").where(f"{ahead('s', 'c')} and (s0 is null or not {ahead('s0', 'c0')})")
+    sizes = within.groupBy("query_id", "step").agg(F.count("*").alias("n"))
+    up = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("step")), F.lit(0))
+    return inside.unionByName(steps.join(sizes, ["query_id", "step"], "left").select("query_id", "chunk_id", (up + 1).cast("int").alias("rank")))
+
+
+def fused(bm: DataFrame, lit: DataFrame, k: int, n_queries: int) -> DataFrame:
+    """(query_id, chunk_id, score, exact, rank): both lists of ``n_queries`` queries fused, the first ``k`` (all if it isn't positive)."""
     keys = ["query_id", "chunk_id"]
     if k > 0:
         bm, lit = cut(bm), cut(lit)
         most = RRF + 2 * k
         top_b, top_l = ranked(bm, most), ranked(lit, most)
         wanted = top_b.select(*keys).union(top_l.select(*keys)).distinct()
-        a, b = _places(bm, top_b, wanted), _places(lit, top_l, wanted)
+        few = 2 * most * n_queries <= BROADCAST_TERMS
+        a, b = _places(bm, top_b, wanted, few), _places(lit, top_l, wanted, few)
     else:
         a, b = ranked(bm), ranked(lit)
     both = a.select(*keys, F.col("rank").alias("x")).join(b.select(*keys, F.col("rank").alias("y")), keys, "full_outer")
@@ -170,10 +195,9 @@ def search_many(index: Index, queries: dict[int, str], filters: Filters | None =
     hits that are left only.
     """
     spark = index.postings.sparkSession
-    wanted = _own_terms(queries) | {r[-1] for r in _literal_rows(queries)}
-    index = replace(index, postings=cut(_posted(index, wanted)))  # read once; all that follows is about these terms
+    index = narrowed(index, queries)
     live = live_chunks(index, filters)
-    hits = fused(bm25(index, queries, live), literal(index, queries, live), k)
+    hits = fused(bm25(index, queries, live), literal(index, queries, live), k, len(queries))
     asked = _table(spark, [(q, text, terms.tokenize(text)) for q, text in queries.items()], "query_id bigint, query string, terms array<string>")
     full = hits.join(index.chunks, "chunk_id").join(index.notes.select("path", "title", "meta"), "path", "left").join(asked, "query_id")
     return full.select("query_id", "rank", "path", "line", "title", "breadcrumb", "score", "exact", tx.snippet(F.col("body"), F.col("query"), F.col("terms")).alias("snippet"), "body", "meta")

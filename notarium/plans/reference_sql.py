@@ -6,7 +6,6 @@ the Arrow stages and array functions.
 
 from __future__ import annotations
 
-from notarium.functions import terms
 from notarium.functions.text import EN_ENDINGS, RU_ENDINGS
 
 _WS = r"[\p{Z}\s\x0B\x85]+"
@@ -86,16 +85,54 @@ select field_rank::int field_rank, field, row_number() over (partition by field
 union all select field_rank::int, field, 2147483647, '(not set)', (select count(*) from n) - present from chosen where (select count(*) from n) > present"""
 
 
+_FACET_COUNTS = _facets("select field, present, row_number() over (order by present desc, field) field_rank from present where present > 1 and field not in ('title', 'date', 'created', 'updated', 'aliases') and (select count(*) from counts where counts.field = present.field) <= 200")
+
+# --- refreshing ---
+
+_SEEN = "o as (select distinct g.path, coalesce(sum_hash, hash, 'gone') old from crawl_log g left join n using (path) where g.path is not null)"
+_CHANGED = f"{_NOTES}, {_SEEN}, ch as (select coalesce(n.path, o.path) path, case when o.path is null then 'added' when n.path is null then 'removed' when old <> hash then 'updated' else 'unchanged' end change from n full outer join o using (path))"
+#: dn: the documents, which are new notes; s: paths with sections; kept: notes that stay as they are; gone: notes that nobody crawled.
+_REFRESH = f"""dn as (select doc_id, path, sha256(coalesce(text, ''))[:16] hash from documents), s as (select path, min(section_id) sid from sections where path is not null group by 1),
+kept as (select path from n where path not in (select path from s) and path in (select path from crawl_log where path is not null)), gone as (select path from n where path not in (select path from s) and path not in (select path from kept))"""
+
 # --- search ---
 
 
-def _asked(queries: dict[int, str]) -> str:
-    rows = ", ".join(f"({q}, {_q(text)}, {_list(terms.tokenize(text))})" for q, text in queries.items())
+#: The queries asked, and what is looked up for each, written out by hand from the rules of tokens and literals.
+_ASKED = {
+    1: ("page leak under heavy load", "page leak under heavy load"),
+    2: ("DropBarrierChunk 0x7C1E22", "dropbarrierchunk drop barrier chunk dropba 0x7c1e22 7c1e22"),
+    3: ("гипотеза о работе кэша", "гипотеза гипотез гипоте о работе работ кэша"),
+    4: ("retry policy, \"lock order\" replicated handshakes", "retry policy lock order replicated replicat replic handshakes handshak handsh"),
+    5: ("stHeaderTokenFSM buffer::ReleaseHeaderToken", "stheadertokenfsm st header token fsm sthead buffer releaseheadertoken release releas"),
+    6: ("...", ""),
+}
+_LITERALS = (
+    (1, 0, "page leak under heavy load", "page leak under heavy load"),
+    (2, 0, "DropBarrierChunk 0x7C1E22", "dropbarrierchunk drop barrier chunk dropba 0x7c1e22 7c1e22"),
+    (2, 1, "DropBarrierChunk", "dropbarrierchunk drop barrier chunk dropba"),
+    (2, 2, "0x7C1E22", "0x7c1e22 7c1e22"),
+    (3, 0, "гипотеза о работе кэша", "гипотеза гипотез гипоте о работе работ кэша"),
+    (3, 1, "гипотеза", "гипотеза гипотез гипоте"),
+    (3, 2, "работе", "работе работ"),
+    (3, 3, "кэша", "кэша"),
+    (4, 0, "retry policy, \"lock order\" replicated handshakes", "retry policy lock order replicated replicat replic handshakes handshak handsh"),
+    (4, 1, "policy", "policy"),
+    (4, 2, "replicated", "replicated replicat replic"),
+    (4, 3, "handshakes", "handshakes handshak handsh"),
+    (5, 0, "stHeaderTokenFSM buffer::ReleaseHeaderToken", "stheadertokenfsm st header token fsm sthead buffer releaseheadertoken release releas"),
+    (5, 1, "stHeaderTokenFSM", "stheadertokenfsm st header token fsm sthead"),
+    (5, 2, "buffer::ReleaseHeaderToken", "buffer releaseheadertoken release header token releas"),
+)
+
+
+def _asked() -> str:
+    rows = ", ".join(f"({q}, {_q(text)}, {_list(toks.split())})" for q, (text, toks) in _ASKED.items())
     return f"asked(query_id, query, toks) as (values {rows}), q as (select query_id, unnest(toks) term, generate_subscripts(toks, 1) pos from asked)"
 
 
-def _literals(queries: dict[int, str]) -> str:
-    rows = ", ".join(f"({q}, {i}, {_q(lit)}, {_list(terms.tokenize(lit))})" for q, text in queries.items() if terms.tokenize(text) for i, lit in enumerate(terms.literal_terms(text)))
+def _literals() -> str:
+    rows = ", ".join(f"({q}, {i}, {_q(lit)}, {_list(toks.split())})" for q, i, lit, toks in _LITERALS)
     return f"lits(query_id, n, lit, toks) as (values {rows}), lt as (select query_id, n, lit, unnest(toks) term, generate_subscripts(toks, 1) pos from lits)"
 
 
@@ -104,8 +141,8 @@ def _count(hay: str, needle: str) -> str:
     return f"(length({h}) - length(replace({h}, {x}, ''))) // length({x})"
 
 
-def _lists(queries: dict[int, str], condition: str) -> str:
-    return f"""{_DATED}, {_CHUNKS}, {_POSTED}, {_asked(queries)}, {_literals(queries)},
+def _lists(condition: str) -> str:
+    return f"""{_DATED}, {_CHUNKS}, {_POSTED}, {_asked()}, {_literals()},
 live as (select chunk_id from c where path in (select path from d where {condition})),
 df as (select term, count(*) df from p group by 1), dl as (select chunk_id, sum(tf) len from p group by 1),
 st as (select (select count(*) from c) n, (select sum(tf) from p) / (select count(*) from c) avg_len),
@@ -118,9 +155,9 @@ rb as (select *, row_number() over (partition by query_id order by score desc, c
 rl as (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from li)"""
 
 
-def _fused(queries: dict[int, str], condition: str, k: int) -> str:
+def _fused(condition: str, k: int) -> str:
     flat = f"trim(regexp_replace(coalesce(body, ''), '{_WS}', ' ', 'g'))"
-    return f"""with {_lists(queries, condition)},
+    return f"""with {_lists(condition)},
 fu as (select query_id, chunk_id, coalesce(1.0::double / (60 + rb.r), 0) + coalesce(1.0::double / (60 + rl.r), 0) score, rl.r is not null exact from rb full outer join rl using (query_id, chunk_id)),
 rk as (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int "rank" from fu qualify "rank" <= {k}),
 s0 as (select rk.*, c.path, c.line, title, breadcrumb, body, query, toks, {flat} flat from rk join c using (chunk_id) left join d on d.path = c.path join asked using (query_id)),
@@ -248,17 +285,17 @@ select src, row_id, field, utc_us::bigint utc_us from dated
 union all select src, row_id, field, (case when abs(k) < 100000000000 then k * 1000000 + fr when abs(k) < 100000000000000 then k * 1000 when abs(k) < 100000000000000000 then k else k // 1000 end)::bigint from counted"""
 
 
-def queries(asked: dict[int, str]) -> dict[str, str]:
+def queries() -> dict[str, str]:
     blocks = f"""with {_DATED},
 t as (select *, array_to_string(list_filter([case when len({vals("status")}) > 0 then 'status: ' || array_to_string({vals("status")}, ', ') end, case when len({vals("tags")}) > 0 then 'tags: ' || array_to_string({vals("tags")}, ', ') end, strftime(make_timestamp(at_us), '%Y-%m-%d')], lambda v: v is not null and v <> ''), ' · ') tags, coalesce(nullif(summary, ''), lead, '') said, coalesce(headings, []) hs from d where at_us >= {_SINCE})
 select case when contains(path, '/') then string_split(path, '/')[1] else '(root)' end "name", at_us date_us, path,
   '### [' || coalesce(title, '') || '](' || path || E')\\n\\n' || case when tags <> '' then '`' || tags || E'`\\n\\n' else '' end || case when said <> '' then said || E'\\n\\n' else '' end
   || case when len(hs) > 0 then array_to_string(list_transform(hs[:3], lambda h: '- ' || h || E'\\n'), '') || case when len(hs) > 3 then '- …' || (len(hs) - 3) || E' more\\n' else '' end || E'\\n' else '' end block from t"""
     return {
-        "search_fused": _fused(asked, "true", 10),
-        "search_filtered": _fused(asked, _FILTER, 5),
-        "search_bm25": f'with {_lists(asked, "true")} select query_id::bigint query_id, chunk_id, round(score, 6) score, r::int "rank" from rb where r <= 20',
-        "search_literal": f'with {_lists(asked, "true")} select query_id::bigint query_id, chunk_id, score, r::int "rank" from rl',
+        "search_fused": _fused("true", 10),
+        "search_filtered": _fused(_FILTER, 5),
+        "search_bm25": f'with {_lists("true")} select query_id::bigint query_id, chunk_id, round(score, 6) score, r::int "rank" from rb where r <= 20',
+        "search_literal": f'with {_lists("true")} select query_id::bigint query_id, chunk_id, score, r::int "rank" from rl',
         "p4_found": _instants(),
         "tok_raw": f"with {_CHUNKS} select unnest({_RAW}) token, count(*) n from c group by 1",
         "tok_expand": f"with {_VOCABULARY}, {_EXPANDED} select token, term from x",
@@ -275,16 +312,40 @@ select case when contains(path, '/') then string_split(path, '/')[1] else '(root
         "parse_outline": _OUTLINE,
         "parse_sections": _SECTIONS,
         "content_hash": "select doc_id, sha256(text)[:16] hash from documents",
-        "change_set": f"with {_NOTES}, o as (select path, sum_hash from n where sum_hash is not null) select n.path, case when o.path is null then 'added' when o.sum_hash <> n.hash then 'updated' else 'unchanged' end change from n left join o using (path)",
+        "change_set": f"with {_CHANGED} select path, change from ch",
+        "change_counts": f"with {_CHANGED} select count(*) filter (change = 'added') added, count(*) filter (change = 'updated') updated, count(*) filter (change = 'removed') removed from ch",
+        "refresh_notes": f"""with recursive {_MARKED}, {_NOTES}, {_REFRESH}
+select path, hash, title, null::varchar summary, null::varchar sum_hash from dn join titles using (doc_id)
+union all select n.path, 'section ' || s.sid, 'Rewritten', summary, sum_hash from n join s using (path)
+union all select path, hash, title, summary, sum_hash from n where path in (select path from kept)""",
+        "refresh_chunks": f"""with parsed as ({_SECTIONS}), {_NOTES}, {_CHUNKS}, {_REFRESH},
+fresh as (select path, ord from parsed join dn using (doc_id) union all select s.path, 0 from s join n using (path)),
+ids as (select path, row_number() over (order by string_split(path, '/'), ord) + (select max(chunk_id) from c) id from fresh)
+select path, count(*) n, min(id) first_id, max(id) last_id from (select path, id from ids union all select path, chunk_id from c where path not in (select s.path from s join n using (path)) and path not in (select path from gone)) group by 1""",
+        "refresh_counts": f"with {_NOTES}, {_REFRESH} select (select count(*) from dn) added, (select count(*) from s join n using (path)) updated, (select count(*) from gone) removed",
         "crawl_filter": r"select distinct path from crawl_log where lower(regexp_extract(path, '\.[^./]*$')) in ('.md', '.markdown') and not regexp_matches(path, '(^|/)(\.[^/]*|node_modules|vendor|build|dist|obj|bin|target)/') and not contains(path, 'INDEX.md') and not contains(path, 'gone/') and not regexp_matches(path, '[^/]*-quorum-[^/]*$')",
-        "facet_counts": _facets("select field, present, row_number() over (order by present desc, field) field_rank from present where present > 1 and field not in ('title', 'date', 'created', 'updated', 'aliases') and (select count(*) from counts where counts.field = present.field) <= 200"),
+        "facet_counts": _FACET_COUNTS,
         "facet_fields": _facets("select field, present, list_position(['owner', 'tz', 'status'], field) field_rank from present where field in ('owner', 'tz', 'status')"),
         "digest_groups": f"with {_DATED} select coalesce(nullif({vals('status')}[1], ''), '(no status)') \"name\", count(*) n, max(at_us) newest_us from d group by 1",
         "digest_blocks": blocks,
+        "digest_document": f"""with b as ({blocks}) select row_number() over (order by "name", date_us desc nulls last, path) pos, case when row_number() over (partition by "name" order by date_us desc nulls last, path) = 1 then '## ' || "name" || E'\\n\\n' else '' end || block text from b""",
+        "meta_lines": f"with {_NOTES} select note_id, array_to_string(list_filter([{', '.join(f"case when len({vals(k)}) > 0 then '{k}=' || array_to_string({vals(k)}, ',') end" for k in ('status', 'tags', 'owner'))}], lambda v: v is not null), ' ') line from n",
+        "stats_report": f"""with fc as ({_FACET_COUNTS}), {_POSTED}, t as (select (select count(distinct path) from notes) a, (select count(distinct chunk_id) from chunks) b, count(distinct term) c, sum(tf) d from p)
+select 0 field_rank, 0 value_rank, 'files ' || a || ' · chunks ' || b || ' · terms ' || c || ' · avg chunk length ' || round(d / b)::bigint || ' tokens' line from t
+union all select distinct field_rank, 0, field || ':' from fc
+union all select field_rank, value_rank, '  ' || value || repeat(' ', greatest(24 - length(value), 0)) || ' ' || n from fc""",
+        "since_dates": "select typed, epoch_us(ts) at_us from (values ('2025-02-28', timestamp '2025-02-28'), ('7d', timestamp '2026-03-24 12:00:00'), ('2w', timestamp '2026-03-17 12:00:00'), ('1m', timestamp '2026-03-03 12:00:00'), ('13m', timestamp '2025-03-03 12:00:00'), ('0d', timestamp '2026-03-31 12:00:00'), ('', null)) v(typed, ts)",
+        "summary_first": f"with {_NOTES} select note_id, path from n where sum_hash is distinct from hash order by path limit 25",
+        "search_titles": f"""with {_NOTES}, {_CHUNKS}, {_POSTED}, t as (select note_id query_id, unnest(regexp_extract_all(title, '[\\p{{L}}\\p{{Nd}}_]+')) token from n where note_id % 20 = 0), v as (select distinct token from t), {_EXPANDED},
+q as (select distinct query_id, term from t join x using (token)), df as (select term, count(*) df from p group by 1), dl as (select chunk_id, sum(tf) len from p group by 1),
+st as (select (select count(*) from c) n, (select sum(tf) from p) / (select count(*) from c) avg_len),
+bm as (select query_id, chunk_id, round(sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) score
+  from q join p using (term) join df using (term) join dl using (chunk_id), st where chunk_id in (select chunk_id from c where path in (select path from n)) group by all)
+select query_id, chunk_id, round(score, 6) score, (row_number() over w)::int "rank" from bm window w as (partition by query_id order by score desc, chunk_id) qualify "rank" <= 10""",
         "summary_pending": f"with {_NOTES} select note_id, path from n where sum_hash is distinct from hash",
         "summary_input": f"""with {_NOTES}, {_CHUNKS}, h as (select path, coalesce(title, '') || E'\\n\\n' || coalesce(lead, '') || E'\\n\\n' || array_to_string(coalesce(headings, []), E'\\n') head from n),
 k as (select path, chunk_id, E'\\n\\n' || coalesce(breadcrumb, '') || E'\\n' || coalesce(body, '') part from c),
 w as (select path, chunk_id, part, strlen(head) + coalesce(sum(strlen(part)) over (partition by path order by chunk_id rows between unbounded preceding and 1 preceding), 0) before from k join h using (path)),
-b as (select path, string_agg(part, '' order by chunk_id) body from w where before <= 2000 group by 1)
+b as (select path, string_agg(part, '' order by chunk_id) body from w where before <= 24000 group by 1)
 select path, strlen(head || coalesce(body, ''))::int n_bytes, md5(head || coalesce(body, '')) digest from h left join b using (path)""",
     }

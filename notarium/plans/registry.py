@@ -19,13 +19,14 @@ from notarium.sources import files
 #: What the search queries ask, and how they filter.
 ASKED = {
     1: "page leak under heavy load",
-    2: "DropBarrierChunk 0xF90410",
+    2: "DropBarrierChunk 0x7C1E22",
     3: "гипотеза о работе кэша",
     4: "retry policy, \"lock order\" replicated handshakes",
     5: "stHeaderTokenFSM buffer::ReleaseHeaderToken",
     6: "...",
 }
 FILTERS = search.Filters(meta={"status": "Done"}, path="NET/", since=datetime(2024, 6, 1, tzinfo=UTC))
+SINCE = ("2025-02-28", "7d", "2w", "1m", "13m", "0d", "")
 EXCLUDE = ("INDEX.md", "*-quorum-*", "gone/")
 DIGEST = digest.DigestOptions(since=datetime(2024, 6, 1, tzinfo=UTC), max_headings=3)
 
@@ -72,25 +73,32 @@ def index_idf(spark: SparkSession, root: str) -> DataFrame:
 
 
 def search_bm25(spark: SparkSession, root: str) -> DataFrame:
-    i = tables.stored(spark, root)
+    i = search.narrowed(tables.written(spark, root), ASKED)
     return search.ranked(search.bm25(i, ASKED, search.live_chunks(i)), 20).withColumn("score", F.round("score", 6))
 
 
 def search_literal(spark: SparkSession, root: str) -> DataFrame:
-    i = tables.stored(spark, root)
+    i = search.narrowed(tables.stored(spark, root), ASKED)
     return search.ranked(search.literal(i, ASKED, search.live_chunks(i)))
 
 
+def search_titles(spark: SparkSession, root: str) -> DataFrame:
+    """The first ten chunks for the title of every note whose id is divisible by 20."""
+    i = tables.written(spark, root)
+    asked = tables.notes(spark, root).where("note_id % 20 = 0 and title is not null").select(F.col("note_id").alias("query_id"), F.col("title").alias("text"))
+    return search.ranked(search.bm25_of(i, asked, search.live_chunks(i)), 10).withColumn("score", F.round("score", 6))
+
+
 def _flat(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "path", "line", "title", "breadcrumb", F.round("score", 9).alias("score"), "exact", "snippet", F.length("body").alias("n_chars"))
 
 
 def search_fused(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(search.search_many(tables.stored(spark, root), ASKED, k=10))
+    return _flat(search.search_many(tables.written(spark, root), ASKED, k=10))
 
 
 def search_filtered(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(search.search_many(tables.stored(spark, root), ASKED, FILTERS, k=5))
+    return _flat(search.search_many(tables.written(spark, root), ASKED, FILTERS, k=5))
 
 
 def notes_filtered(spark: SparkSession, root: str) -> DataFrame:
@@ -123,8 +131,47 @@ def content_hash(spark: SparkSession, root: str) -> DataFrame:
 
 
 def change_set(spark: SparkSession, root: str) -> DataFrame:
-    n = tables.notes(spark, root)
-    return ix.changes(n.select("path", "hash"), n.where("sum_hash is not null").select("path", F.col("sum_hash").alias("hash")))
+    """The notes against the files ever crawled: some aren't among them, some of them have no note any more."""
+    return ix.changes(tables.notes(spark, root).select("path", "hash"), tables.sighted(spark, root))
+
+
+def change_counts(spark: SparkSession, root: str) -> DataFrame:
+    return ix.change_counts(change_set(spark, root))
+
+
+def _refreshed(spark: SparkSession, root: str) -> ix.Index:
+    """The given tables as the index of the files crawled, refreshed by the documents and by the sections' notes with a text of their own."""
+    return ix.refreshed(_before(spark, root), _listing(spark, root))[0]
+
+
+def _before(spark: SparkSession, root: str) -> ix.Index:
+    i = tables.stored(spark, root)
+    n = i.notes.select("path", "hash", "mtime", "title", "meta", "headings", "lead", "summary", "sum_hash")
+    c = i.chunks.select("chunk_id", "path", "ord", "breadcrumb", "line", "body")
+    return ix.Index(n, c, i.postings, i.doc_len, i.corpus_stats)
+
+
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, hash, mtime, text): the documents; the notes that have sections, which are new texts of theirs; the notes crawled, as they are. Other notes are gone."""
+    d = table(spark, root, "documents").where("path is not null").select("path", files.content_hash(F.coalesce("text", F.lit(""))).alias("hash"), "mtime", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["path"])
+    n = tables.notes(spark, root).select("path", "hash", "mtime")
+    s = table(spark, root, "sections").where("path is not null").groupBy("path").agg(F.min("section_id").alias("at"))
+    new = n.join(s, "path").select("path", F.concat(F.lit("section "), F.col("at").cast("string")).alias("hash"), "mtime", F.concat(F.lit("# Rewritten\n\nsection "), F.col("at").cast("string"), F.lit("\n")).alias("text"))
+    kept = n.join(s, "path", "left_anti").join(tables.sighted(spark, root).select("path"), "path", "left_semi").select("path", "hash", "mtime", F.lit(None).cast("string").alias("text"))
+    return d.unionByName(new).unionByName(kept)
+
+
+def refresh_notes(spark: SparkSession, root: str) -> DataFrame:
+    return _refreshed(spark, root).notes.select("path", "hash", "title", "summary", "sum_hash")
+
+
+def refresh_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks by note; the ids of new ones follow the largest one."""
+    return _refreshed(spark, root).chunks.groupBy("path").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"))
+
+
+def refresh_counts(spark: SparkSession, root: str) -> DataFrame:
+    return ix.change_counts(ix.changes(_listing(spark, root), _before(spark, root).notes))
 
 
 def crawl_filter(spark: SparkSession, root: str) -> DataFrame:
@@ -148,6 +195,29 @@ def digest_blocks(spark: SparkSession, root: str) -> DataFrame:
     return digest.blocks(tables.notes(spark, root), DIGEST).select(F.col("group").alias("name"), F.unix_micros("date").alias("date_us"), "path", "block")
 
 
+def digest_document(spark: SparkSession, root: str) -> DataFrame:
+    return digest.document(tables.notes(spark, root), DIGEST)
+
+
+def meta_lines(spark: SparkSession, root: str) -> DataFrame:
+    return tables.notes(spark, root).select("note_id", digest.meta_line(["status", "tags", "owner"], F.col("meta")).alias("line"))
+
+
+def stats_report(spark: SparkSession, root: str) -> DataFrame:
+    return facets.report_lines(tables.stored(spark, root).corpus_stats, facets.facets(tables.notes(spark, root), max_values=200))
+
+
+def since_dates(spark: SparkSession, root: str) -> DataFrame:
+    """What a user may type, read on the last of March."""
+    now = datetime(2026, 3, 31, 12, tzinfo=UTC)
+    return spark.createDataFrame([(t, dates.parse_since(t, now)) for t in SINCE], "typed string, at timestamp").select("typed", F.unix_micros("at").alias("at_us"))
+
+
+def summary_first(spark: SparkSession, root: str) -> DataFrame:
+    """The first 25 pending ones by path."""
+    return enrich.pending(tables.notes(spark, root), 25).select("note_id", "path")
+
+
 def summary_pending(spark: SparkSession, root: str) -> DataFrame:
     return enrich.pending(tables.notes(spark, root)).select("note_id", "path")
 
@@ -157,11 +227,6 @@ def _measured(x: DataFrame) -> DataFrame:
 
 
 def summary_input(spark: SparkSession, root: str) -> DataFrame:
-    """With a reduced limit; ``summary_input_full`` has the operator's own."""
-    return _measured(enrich.inputs(tables.notes(spark, root), tables.chunks(spark, root), most=2_000))
-
-
-def summary_input_full(spark: SparkSession, root: str) -> DataFrame:
     return _measured(enrich.inputs(tables.notes(spark, root), tables.chunks(spark, root)))
 
 
@@ -171,11 +236,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {
     f.__name__: f
     for f in (
-        tok_raw, tok_expand, tok_stem, ident_like, index_postings, index_doc_len, index_stats, index_idf, search_bm25, search_literal, search_filtered,
-        notes_filtered, note_date, parse_meta, parse_title, parse_outline, parse_sections, content_hash, change_set, crawl_filter, facet_counts, facet_fields,
-        digest_groups, digest_blocks, summary_pending, summary_input, summary_input_full,
+        tok_raw, tok_expand, tok_stem, ident_like, index_postings, index_doc_len, index_stats, index_idf, search_bm25, search_literal, search_filtered, search_titles,
+        notes_filtered, note_date, parse_meta, parse_title, parse_outline, parse_sections, content_hash, change_set, change_counts, refresh_notes, refresh_chunks, refresh_counts, crawl_filter, facet_counts, facet_fields,
+        digest_groups, digest_blocks, digest_document, meta_lines, stats_report, since_dates, summary_pending, summary_first, summary_input,
     )
 }
-SQL: dict[str, str] = reference_sql.queries(ASKED)
-#: The reference's limit, written out so that another default of the operator is noticed.
-SQL["summary_input_full"] = SQL["summary_input"].replace("before <= 2000", "before <= 24000")
+SQL: dict[str, str] = reference_sql.queries()

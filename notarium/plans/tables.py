@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notarium.functions.markdown import parsed
 from notarium.operators import index as ix
-from notarium.runtime import table
+from notarium.runtime import cut, table
 
 
 def notes(spark: SparkSession, root: str) -> DataFrame:
@@ -24,10 +25,24 @@ def postings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, root: str) -> ix.Index:
+    """For one reading of the postings."""
     n, c, p = notes(spark, root), chunks(spark, root), postings(spark, root)
     return ix.Index(n, c, p, ix.doc_lengths(p), ix.corpus_stats(n, c, p))
 
 
+def written(spark: SparkSession, root: str) -> ix.Index:
+    """For several: postings and lengths are written out first, as in a saved index."""
+    n, c, p = notes(spark, root), chunks(spark, root), cut(postings(spark, root))
+    return ix.Index(n, c, p, cut(ix.doc_lengths(p)), cut(ix.corpus_stats(n, c, p)))
+
+
+def sighted(spark: SparkSession, root: str) -> DataFrame:
+    """(path, hash) of every file ever crawled: that of the note's last summary, its own where there is none, ``gone`` without a note."""
+    n = notes(spark, root).select("path", "hash", "sum_hash")
+    seen = table(spark, root, "crawl_log").where("path is not null").select("path").distinct()
+    return seen.join(n, "path", "left").select("path", F.coalesce("sum_hash", "hash", F.lit("gone")).alias("hash"))
+
+
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """The documents taken apart: doc_id, path, title, meta, headings, lead, sections."""
     return parsed(table(spark, root, "documents").select("doc_id", "path", "text"), keep=("doc_id",))

@@ -26,19 +26,14 @@ def latest(sightings: DataFrame) -> DataFrame:
 
 def apply(spark: SparkSession, place: str, sightings: DataFrame) -> ix.Refresh:
     """Applies one batch to the index at ``place`` and publishes the next version, unless nothing changed."""
-    try:
-        before = ix.load(spark, place)
-    except ix.NoIndex:
-        before = ix.empty(spark)
     batch = cut(latest(sightings))
     live = batch.where("not coalesce(deleted, false)").select("path", "hash", "mtime", "text")
-    untouched = before.notes.join(batch.select("path"), "path", "left_anti").select("path", "hash", "mtime", F.lit(None).cast("string").alias("text"))
-    index, changed = ix.refreshed(before, live.unionByName(untouched))
-    n = ix.change_counts(changed).first()
-    got = ix.Refresh(n.added, n.updated, n.removed)
-    if got != ix.Refresh(0, 0, 0):
-        ix.save(index, place)
-    return got
+
+    def listing(before: ix.Index) -> DataFrame:
+        untouched = before.notes.join(batch.select("path"), "path", "left_anti").select("path", "hash", "mtime", F.lit(None).cast("string").alias("text"))
+        return live.unionByName(untouched)
+
+    return ix.refresh(spark, place, listing)
 
 
 def follow(spark: SparkSession, source: str, place: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -37,6 +37,15 @@ def test_query(spark, name):
     compare(spark, registry.QUERIES[name], registry.SQL[name])
 
 
+def test_written_out_tokens_are_those_asked():
+    from notarium.functions import terms
+    from notarium.plans import reference_sql
+
+    assert {q: text for q, (text, _) in reference_sql._ASKED.items()} == registry.ASKED
+    assert all(toks.split() == terms.tokenize(text) for text, toks in reference_sql._ASKED.values())
+    assert [(q, n, lit, toks.split()) for q, n, lit, toks in reference_sql._LITERALS] == [(q, n, lit, terms.tokenize(lit)) for q, text in registry.ASKED.items() if terms.tokenize(text) for n, lit in enumerate(terms.literal_terms(text))]
+
+
 def test_every_query_has_sql():
     assert registry.SQL.keys() == registry.QUERIES.keys()
 
@@ -73,13 +82,6 @@ def test_nulls(spark):
     assert enrich.inputs(notes, chunks).count() == 2
 
 
-def test_summary_inputs_are_as_long_as_the_reference_s(spark):
-    full = {r.path: r.n_bytes for r in registry.summary_input_full(spark, SF).collect()}
-    short = {r.path: r.n_bytes for r in registry.summary_input(spark, SF).collect()}
-    assert full.keys() == short.keys() and all(full[p] >= n for p, n in short.items())
-    assert sum(full[p] > n for p, n in short.items()) > 0 and registry.SQL["summary_input_full"] != registry.SQL["summary_input"]
-
-
 @pytest.mark.parametrize("most", [0, 9, 40, 200, 24_000])
 def test_summary_limits(spark, most):
     notes = spark.createDataFrame([(f"{i}.md", "Tü", "lead", ["A", "B"]) for i in range(3)] + [("none.md", None, None, None)], "path string, title string, lead string, headings array<string>")

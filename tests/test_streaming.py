@@ -19,7 +19,7 @@ def test_batches_arrive(spark, tmp_path):
     got = ix.load(spark, place)
     assert {r.path: r.body for r in got.chunks.collect()} == {"a.md": "two", "b.md": "three"}
     again = sightings(spark, [("a.md", 2, "# A\n\ntwo", None)])
-    assert refresh.apply(spark, place, again) == ix.Refresh(0, 0, 0) and ix.current(place) == 1
+    assert refresh.apply(spark, place, again) == ix.Refresh(0, 0, 0) and ix.current(spark, place) == 1
     sightings(spark, [("b.md", 3, None, True), ("c.md", 3, "# C\n\nfour", False)]).write.mode("append").parquet(source)
     refresh.follow(spark, source, place, str(tmp_path / "cp")).awaitTermination()
     got = ix.load(spark, place)
