@@ -1,11 +1,12 @@
 """Prompt and response pairs whose response is missing, declined, copied, in another language or cut short.
 
-Responses are sorted by text over range partitions and each is compared with
-its next different neighbour: one that is the start of the other is a shortened
-version. Lengths at which responses are cut again and again, and what the
-responses of the corpus end with, give the other evidence (see ``endings``).
-The rules for empty, declined, copied and foreign responses then apply, in
-that order; the first one counts.
+Responses are sorted by text and compared with their neighbours (``neighbours``):
+one that others go on from is a shortened version. As most responses differ in
+names and numbers, their units are sorted and compared as frames too
+(``endings``): a last unit that others go on from, and that never ends like
+this, is shortened. Lengths that very many responses have are limits. The rules
+for empty, declined, copied and foreign responses apply in that order before;
+the first defect counts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from notarium.llm import words as wd
 from notarium.llm.endings import judged
+from notarium.llm.neighbours import followed
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -29,34 +31,37 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos y es son de del en que no se por para con al lo su sus como más pero sin qué cómo cada este esta yo me mi nos fue antes después entre durante todavía",
     "ru": "и в во не на что с со по из к ко как это а но для от за я мы вы он она оно они его её их мне меня без до при под между же ли уже ещё почему около после перед",
 }
+#: What an answerer declines to do, and what about, in English.
+_TASK = r"(summari[sz]e|describe|help|assist|answer|write|discuss|provide|share|comment|explain|comply|respond|continue|complete|fulfil+|process|produce|offer|repeat|paraphrase|do (that|this|so|it))"
+_MATTER = r"(request|note|content|text|topic|question|document|passage|message|task)"
 #: How an answerer declines, by language, in lower case and outside quotation marks.
 REFUSALS = (
-    r"\b(i|we) (can ?not|can['’]t|won['’]t|will not|wouldn['’]t|must (decline|refuse|pass)|(have|need) to (decline|refuse|pass)|decline|refuse|do(n['’]t| not) feel (comfortable|able)|am (not (able|allowed|permitted|in a position)|unable))\b",
+    rf"\bi (can ?not|can['’]t|won['’]t|will not|wouldn['’]t|must (decline|refuse|pass)|(have|need) to (decline|refuse|pass)|decline|refuse|do(n['’]t| not) feel (comfortable|able)|am (not (able|allowed|permitted|in a position)|unable))\b",
+    rf"\bwe ((can ?not|can['’]t|won['’]t|will not|are (unable|not able|not allowed) to) {_TASK}|must decline|(have|need) to decline|decline (this|that|the {_MATTER}|to {_TASK}))\b",
     r"\bi['’]m (sorry|afraid|unable|not (able|allowed|permitted|in a position))\b",
     r"\bi['’]?m? ?(have been |was )?(not |un)(able|permitted|allowed)\b",
     r"\bi am allowed to\b|\b(is|it['’]s|be) (impossible|not possible) for me\b|\bnot something i (can|am|may|could|will)\b",
     r"\bas an? (ai|artificial|large|language)\b",
     r"\b(against|violates?) (my|our) (guidelines|policy|policies|rules|programming)\b",
-    r"\b(my|our) (apologies|regrets)\b",
-    r"^\W*(sorry|unfortunately|apologies)\b",
+    r"(^|[.!?]\W+)(my|our) (apologies|regrets)\b(?! list)\W*(but|,|\.|!|:|$)",
+    rf"^\W*(sorry|apologies)\b|^\W*unfortunately\W+(i\b|this {_MATTER} (is|can|falls|goes)|that is not something|my\b)",
     r"(^|\P{L})я (не (могу|вправе|имею права|в состоянии|смогу|буду|готов)|вынужден|отказываюсь)",
     r"(^|\P{L})мне (не разрешено|невозможно|не позволено|нельзя|запрещено|очень жаль)",
-    r"(^|\P{L})вынужден\w* (отказаться|отклонить)|^\W*(извините|простите|к сожалению|прошу прощения|как языковая модель)",
-    r"tut mir leid|\bmir (nicht|leider nicht) (möglich|erlaubt|gestattet)\b|\b(kann|darf|möchte|werde|muss) ich\b[^.!?]*\b(nicht|kein\w*|ablehnen|verweigern)|\bich (kann|darf|möchte|werde|bin)\b[^.!?]*\b(nicht|keine?\w*)\b|\bmuss (ich|das|dies\w*)\b[^.!?]*\bablehnen|\bich muss\b[^.!?]*\b(ablehnen|verweigern|passen)|^\W*leider\b|als sprachmodell",
+    r"(^|\P{L})вынужден\w* (отказаться|отклонить)|^\W*(извините|простите|прошу прощения|как языковая модель)|^\W*к сожалению[^.!?]*\P{L}(я|мне|мой|моих|мои)\P{L}",
+    r"tut mir leid|\bmir (nicht|leider nicht) (möglich|erlaubt|gestattet)\b|\b(kann|darf|möchte|werde|muss) ich\b[^.!?]*\b(nicht|kein\w*|ablehnen|verweigern)|\bich (kann|darf|möchte|werde)\b[^.!?]*\b(nicht|keine?\w*)\b|\bich bin (leider )?(nicht (befugt|berechtigt|in der lage|imstande|autorisiert|bereit)|außerstande)|\bich bin\b[^.!?]*\bnicht (befugt|berechtigt|in der lage|imstande|autorisiert)\b|\bmuss (ich|das|dies\w*)\b[^.!?]*\bablehnen|\bich muss\b[^.!?]*\b(ablehnen|verweigern|passen)|^\W*leider\b[^.!?]*\b(ich|mir|mich|meine\w*)\b|als sprachmodell",
     r"^\W*désolée?\b|\bje (ne (peux|suis|saurais|puis|veux)|dois (refuser|décliner)|refuse|regrette|suis désolée?|suis (incapable|dans l['’]impossibilité))|\bdois refuser\b|\bil m['’]est (impossible|interdit|défendu)\b|en tant que modèle",
-    r"\blo siento\b|\b(no (puedo|podré|podría|estoy autorizad\w|se me permite|me está permitido|me es posible))\b|^\W*(lamento|lamentablemente|por desgracia|me temo)\b|\bme (es|resulta) imposible\b|\bdebo (rechazar|negarme|declinar|decir que no)\b|\btengo que (rechazar|negarme|declinar|decir que no)\b|como modelo de lenguaje",
+    r"\blo siento\b|\b(no (puedo|podré|podría|estoy autorizad\w|se me permite|me está permitido|me es posible))\b|^\W*(lamento|me temo)\b|^\W*(lamentablemente|por desgracia)\b[^.!?]*\b(no (puedo|podré|debo|se me|me)|me|mis?|debo)\b|\bme (es|resulta) imposible\b|\bdebo (rechazar|negarme|declinar|decir que no)\b|\btengo que (rechazar|negarme|declinar|decir que no)\b|como modelo de lenguaje",
 )
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _QUOTED = r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|`[^`]*`|‘[^’]*’"
 
 
 def language(text: Column) -> Column:
-    """The key of ``FUNCTION_WORDS`` with most words in ``text``; without any, ru for Cyrillic letters, else null."""
+    """The key of ``FUNCTION_WORDS`` with most words in ``text``, null if two have as many; without any, ru for Cyrillic letters, else null."""
     plain = F.lower(F.regexp_replace(text, r"`[^`]*`", " "))
     found = F.regexp_extract_all(plain, F.lit(r"(\p{L}+)"), 1)
-    votes = [F.struct(F.size(_members(found, listed.split())).alias("n"), F.lit(k).alias("lang")) for k, listed in FUNCTION_WORDS.items()]
-    best = F.array_max(F.array(*votes))
-    return F.when(best["n"] > 0, best["lang"]).when(plain.rlike("[а-яё]"), "ru")
+    votes = F.sort_array(F.array(*[F.struct(F.size(_members(found, listed.split())).alias("n"), F.lit(k).alias("lang")) for k, listed in FUNCTION_WORDS.items()]), asc=False)
+    return F.when(votes[0]["n"] > votes[1]["n"], votes[0]["lang"]).when((votes[0]["n"] == 0) & plain.rlike("[а-яё]"), "ru")
 
 
 def _members(found: Column, own: list[str]) -> Column:
@@ -105,35 +110,24 @@ def copies(pairs: DataFrame, covered: float = 0.65, shared: float = 0.5) -> Data
     return x.select("id", "lead", "answer").mapInArrow(_covered, "id bigint, share double").where(F.col("share") >= covered).select("id")
 
 
-def _shortens(a: str, b: str) -> bool:
-    """Whether ``b`` goes on where ``a`` stops, and not with the end of its sentence."""
-    return b.startswith(a) and b[len(a)] not in ".!?…"
+def shortened(answers: DataFrame) -> DataFrame:
+    """(text) of the ``answers`` (text) that others start with and go on from, not just with the end of the sentence."""
+    rows = answers.select("text", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("asked"))
+    return followed(rows, lambda c: c not in ".!?…").select("text")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted stream (part, text): the texts that the next different one goes on from, and the first and last text of the stream."""
-    first = last = part = None
-    cuts: list[str] = []
-    for batch in batches:
-        for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if first is None:
-                first, part = t, p
-            elif t != last and _shortens(last, t):
-                cuts.append(last)
-            last = t
-        if cuts:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cuts), pa.int32()), pa.array(cuts, pa.string()), pa.nulls(len(cuts), pa.string())], names=["part", "text", "first"])
-            cuts = []
-    if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.string()), pa.array([first], pa.string())], names=["part", "text", "first"])
+def continued(frames: DataFrame, asked: DataFrame) -> DataFrame:
+    """(frame, goes_on) of ``asked`` (frame): how many units of ``frames`` (frame, went) go on from it, by comparing sorted neighbours."""
+    rows = frames.where("went > 0").select(F.col("frame").alias("text"), F.col("went").alias("n"), F.lit(False).alias("asked"))
+    rows = rows.unionByName(asked.select(F.col("frame").alias("text"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")))
+    return followed(rows, lambda c: c == " ").select(F.col("text").alias("frame"), F.col("good").alias("goes_on"))
 
 
-def shortened(answers: DataFrame) -> DataFrame:
-    """(text) of the ``answers`` (text) that another one starts with. Sorted by range; only each range's first and last text meet in one task."""
-    sorted_ = answers.distinct().repartitionByRange("text").sortWithinPartitions("text").select(F.spark_partition_id().alias("part"), "text")
-    seen = sorted_.mapInArrow(_neighbours, "part int, text string, first string")
-    edges = seen.where("part is not null").withColumn("next", F.lead("first").over(Window.orderBy("part")))
-    return seen.where("part is null").select("text").unionByName(edges.where(F.expr("next <> text and startswith(next, text) and not substring(next, length(text) + 1, 1) in ('.', '!', '?', '…')")).select("text")).distinct()
+def spikes(lengths: DataFrame, around: int = 8, times: float = 4.0, least: int = 12) -> DataFrame:
+    """(size) of ``lengths`` (size), one row a response: lengths that at least ``least`` responses have, and ``times`` as many as a length nearby has on average."""
+    n = lengths.groupBy("size").agg(F.count("*").alias("n"))
+    near = F.sum("n").over(Window.orderBy("size").rangeBetween(-around, around)) - F.col("n")  # a row a length
+    return n.withColumn("near", near / (2 * around)).where((F.col("n") >= least) & (F.col("n") >= times * F.col("near"))).select("size")
 
 
 def defects(notes: DataFrame, covered: float = 0.65) -> DataFrame:
@@ -151,17 +145,19 @@ def defects(notes: DataFrame, covered: float = 0.65) -> DataFrame:
     texts = said.select((F.col("id") * 2).alias("id"), F.col("answer").alias("text"), own.alias("lang"), F.lit("answer").alias("source")).unionByName(
         said.where("lead is not null").select((F.col("id") * 2 + 1).alias("id"), F.col("lead").alias("text"), theirs.alias("lang"), F.lit("lead").alias("source"))
     )
-    ended = judged(texts).where("source = 'answer'").select(F.shiftright("id", 1).alias("id"), "cut", "how")
+    ended = judged(texts, continued=continued).where("source = 'answer'").select(F.shiftright("id", 1).alias("id"), "cut", "how")
+    sized = said.select("id", F.length("answer").alias("size"))
+    full = sized.join(spikes(sized), "size", "left_semi").select("id", F.lit(True).alias("full"))
     bare = F.regexp_replace("answer", r"[^\p{L}\p{N}]+\z", "")
     short = said.select("id", bare.alias("text"))
     short = short.join(shortened(short.select("text")), "text", "left_semi").select("id", F.lit(True).alias("shortened"))
     copied = copies(said.where("lead is not null").select("id", "lead", "answer"), covered).distinct().withColumn("copied", F.lit(True))
-    x = made.join(copied, "id", "left").join(ended, "id", "left").join(short, "id", "left")
+    x = made.join(copied, "id", "left").join(ended, "id", "left").join(short, "id", "left").join(full, "id", "left")
     defect = (
         F.when(F.col("empty"), "empty")
         .when(refuses(F.col("answer")), "refusal")
         .when(F.col("copied"), "copy")
         .when(own != theirs, "language")
-        .when(F.col("cut") | (F.col("shortened") & (F.col("how") == "loose")), "truncated")
+        .when(F.col("cut") | ((F.col("shortened") | F.col("full")) & (F.col("how") == "loose")), "truncated")
     )
     return x.select(F.col("id").alias("note_id"), defect.alias("defect")).where("defect is not null")
