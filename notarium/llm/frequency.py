@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +140,7 @@ def frequencies(rows: DataFrame, record: str, term: str, n: str | None = None, l
     if live is not None:
         packed = packed.join(live.select(F.col(live.columns[0]).cast("bigint").alias("record")).where("record is not null").distinct(), "record", "left_semi")
     # a broadcast join brings no record's rows together
-    blocks = packed.repartition("record").sortWithinPartitions("record").mapInArrow(_counted, "term string, n_total bigint, n_records bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = cut(packed.repartition("record").sortWithinPartitions("record").mapInArrow(_counted, "term string, n_total bigint, n_records bigint"))
     ids = cut(blocks.select("term").distinct().withColumn("id", F.monotonically_increasing_id()))
     encoded = blocks.join(ids, "term").select("id", "n_total", "n_records")
     schema = "range bigint, occurs array<bigint>, present array<bigint>"

@@ -109,11 +109,12 @@ class _Flow:
             total += room
 
 
-def route(patterns: dict[tuple[str, ...], int], targets: list[Target], total: int) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
+def route(patterns: dict[tuple[str, ...], int], targets: list[Target], total: int, costs: bool = True) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
     """(flow, tokens by pattern and source) that fill quotas of ``total`` tokens as far as the patterns' tokens and the caps allow.
 
     A pattern's tokens may be used as often as the largest cap among its sources
     allows, by one source as often as its own cap; the k-th use costs k - 1.
+    Without ``costs`` the flow is as large, by fewer paths.
     """
     names = {t.source: i for i, t in enumerate(targets)}
     weights = sum(t.weight for t in targets)
@@ -124,8 +125,9 @@ def route(patterns: dict[tuple[str, ...], int], targets: list[Target], total: in
         flow.edge(base + names[t.source], end, int(total * t.weight / weights))
     edges = {}
     for p, tokens in patterns.items():
-        for k in range(max(targets[names[s]].max_repeats for s in p)):
-            flow.edge(start, own[p], tokens, k)
+        most = max(targets[names[s]].max_repeats for s in p)
+        for k in range(most if costs else 1):
+            flow.edge(start, own[p], tokens if costs else tokens * most, k)
         for s in p:
             edges[p, s] = flow.edge(own[p], base + names[s], tokens * targets[names[s]].max_repeats)
     got = flow.run(start, end, base + len(targets))
@@ -145,7 +147,7 @@ def plan(patterns: dict[tuple[str, ...], int], targets: list[Target], total: int
         return {}
     weights = sum(t.weight for t in some)
     if total is None:
-        full = lambda x: route(kept, some, x)[0] >= sum(int(x * t.weight / weights) for t in some)
+        full = lambda x: route(kept, some, x, costs=False)[0] >= sum(int(x * t.weight / weights) for t in some)
         low, high = 0, sum(n * max(t.max_repeats for t in some) for n in kept.values()) + 1
         while high - low > 1:
             mid = (low + high) // 2
@@ -204,7 +206,7 @@ def mixed(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("n")).drop("n")
     inner = F.sum("n_tokens").over(Window.partitionBy("pattern", "bin").orderBy("h", "id")) - F.col("n_tokens")
     placed = h.withColumn("inner", inner).join(before, ["pattern", "bin"]).select("id", "pattern", "n_tokens", (F.col("before") + F.col("inner") + F.expr("n_tokens div 2")).alias("at"))
-    used = placed.join(F.broadcast(span), "pattern").withColumn("n_uses", (_ceil_div("hi - at", "n") - _ceil_div("lo - at", "n")).cast("int")).where("n_uses > 0").select("id", "source", "n_tokens", "n_uses")
+    used = placed.join(F.broadcast(span) if len(spans) <= most_patterns else span, "pattern").withColumn("n_uses", (_ceil_div("hi - at", "n") - _ceil_div("lo - at", "n")).cast("int")).where("n_uses > 0").select("id", "source", "n_tokens", "n_uses")
     actual = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("actual_tokens"), F.count("*").alias("n_docs"), F.sum("n_uses").alias("n_uses"))
     avail: dict[str, int] = defaultdict(int)
     for p, n in patterns.items():

@@ -18,18 +18,25 @@ def _size(column: str) -> str:
     return f"length(regexp_replace(regexp_replace({lf}, '^(?: *\\n)+', ''), '(?:\\n *)+$', ''))"
 
 
-SQL = {
-    "p1_found": "with "
-    + _pairs("body", "chunks", "chunk_id", "body", "unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))", 40)
+_SIMILAR = (
+    _pairs("body", "chunks", "chunk_id", "body", "unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))", 40)
     + ", "
     + _pairs("title", "notes", "note_id", "title", "unnest(list_transform(range(1, length(array_to_string(ws, ' ')) - 1), lambda i: array_to_string(ws, ' ')[i:i + 2]))", 1)
-    + " select * from bodyp union all select * from titlep",
-    "p3_found": f"select 'section' item, section_id item_id from sections where {_size('body')} > 2000 group by 2 union all select 'chunk', chunk_id from chunks where {_size('body')} > 2000 group by 2",
-    "p5_found": """with p as (select distinct term, chunk_id, tf from postings where term is not null and chunk_id in (select chunk_id from chunks)), n as (select distinct on (note_id) note_id, meta from notes),
+)
+_COUNTED = """with p as (select distinct term, chunk_id, tf from postings where term is not null and chunk_id in (select chunk_id from chunks)), n as (select distinct on (note_id) note_id, meta from notes),
 e as (select note_id, unnest(map_entries(meta)) e from n), m as (select 'meta.' || e.key field, note_id, unnest(e.value) v from e where e.key not in ('title', 'date', 'created', 'updated', 'aliases')),
 u as (select 'term' field, term val, sum(tf)::bigint n_total, count(distinct chunk_id) n_records, (select count(distinct chunk_id) from chunks) n_all from p group by 2
   union all select field, lower(trim(v)), count(*), count(distinct note_id), (select count(*) from n) from m where v is not null group by 1, 2)
-select * exclude (n_all) from (select *, case when n_records < 3 then 'rare' when n_records > 0.1 * n_all then 'common' end mark from u) where mark is not null""",
+select * exclude (n_all) from (select *, case when n_records < 3 then 'rare' when n_records > 0.1 * n_all then 'common' end mark from u)"""
+
+SQL = {
+    "p1_found": f"with {_SIMILAR} select * from bodyp union all select * from titlep",
+    "p1_groups": f"""with recursive {_SIMILAR}, edges as (select field, id_a a, id_b b from (select * from bodyp union all select * from titlep)), sym as (select field, a, b from edges union all select field, b, a from edges),
+reach(field, id, root) as (select 'body', id, id from bodyn union all select 'title', id, id from titlen union select r.field, b, root from reach r join sym on sym.field = r.field and a = r.id)
+select field, id, min(root) group_id from reach group by all""",
+    "p3_found": f"select 'section' item, section_id item_id from sections where {_size('body')} > 2000 group by 2 union all select 'chunk', chunk_id from chunks where {_size('body')} > 2000 group by 2",
+    "p5_counts": _COUNTED,
+    "p5_found": f"{_COUNTED} where mark is not null",
     "p6_found": f"""with d as (select doc_id, {_WORDS.format("text")} ws from documents where text is not null), i as (select item_id, {_WORDS.format("text")} ws from eval_items where text is not null),
 x as (select doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k:k + 12], ' '))) g from d), y as (select item_id, unnest(list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k:k + 12], ' '))) g from i)
 select distinct doc_id, item_id from x join y using (g)""",

@@ -70,6 +70,18 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
 
 
+def _shared(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, text, sources): each different text once, with the sources of all ids that have it."""
+    d = table(spark, root, "documents").where("text is not null").select("doc_id", "text", "source", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
+    own = d.groupBy("h", "m").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources"))  # at most all sources
+    return d.select("doc_id", "text").join(own, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "sources")
+
+
+def p7_overlapping(spark: SparkSession, root: str) -> DataFrame:
+    """Texts that several sources have belong to all of these: the flow decides which of them a text is used for."""
+    return mixing.mixed(_shared(spark, root), table(spark, root, "mix_targets"), sources=F.col("sources"))[0].select(F.col("id").alias("doc_id"), "source", "n_tokens", "n_uses")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return truncated.truncated(table(spark, root, "documents")).where("cut").select(F.col("id").alias("doc_id"))
 
@@ -80,6 +92,6 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_reparameterised, p7_selected, p7_shares, p8_found, p8_rates)
+    for f in (p1_found, p1_groups, p2_found, p3_found, p3_pieces, p5_found, p5_counts, p6_found, p6_reparameterised, p7_selected, p7_shares, p7_overlapping, p8_found, p8_rates)
 }
 SQL: dict[str, str] = reference_sql.SQL
