@@ -1,7 +1,11 @@
 import random
+import re
+from collections import Counter
 
 from notarium.llm import contamination as ct
 from notarium.llm import words
+from notarium.llm import words as wd
+from notarium.runtime import cut, table
 
 
 def item(rng):
@@ -70,3 +74,38 @@ def test_names_of_another_number_of_words(spark):
     assert {i for d, i in got if d == 1} == set(range(9)) and {i for d, i in got if d == 3} == set(range(9))
     assert (2, 9) in got and (4, 9) not in got
     assert all(r.n_words >= 30 for (d, i), r in got.items() if d in (1, 3))
+
+
+def test_planted_items_with_other_numbers(spark, sf):
+    """Every item with each number, and each word that only this item has, replaced by one other, in a text of its own: recall and precision over all pairs."""
+    rng = random.Random(5)
+    items = [(r.item_id, r.text) for r in table(spark, sf, "eval_items").collect()]
+    filler = [r.text for r in table(spark, sf, "documents").where("length(text) < 2000").orderBy("doc_id").limit(80).collect()]
+    holders = Counter(w for _, t in items for w in set(wd.split(t)))
+    rows, want = [], set()
+    for k, (item, text) in enumerate(items):
+        told, changed, out = {}, 0, []
+        for w in re.split(r"([^\W_]+)", text):
+            low = w.lower()
+            if low.isdecimal():
+                changed += 1
+                w = told.setdefault(low, str(rng.randrange(10_000, 99_999)))
+            elif re.search(r"\d", low):
+                changed += 1
+                w = told.setdefault(low, f"x{rng.randrange(10_000, 99_999)}q7")
+            elif holders[low] == 1:
+                changed += 1
+                w = told.setdefault(low, "".join(rng.choice("bdfklmnrst") + rng.choice("aeiou") for _ in range(4)))
+            out.append(w)
+        rows.append((k, f"{filler[k % len(filler)]}\n\n{''.join(out)}\n"))
+        words = wd.split("".join(out))
+        verbatim = any(words[i : i + 13] == wd.split(text)[i : i + 13] for i in range(len(words) - 12))
+        if changed and not verbatim and len(words) >= 20:
+            want.add((k, item))
+    rows += [(1000 + k, t) for k, t in enumerate(filler)]
+    found = cut(ct.matches(spark.createDataFrame(rows, "doc_id bigint, text string"), table(spark, sf, "eval_items")))
+    got = {(r.doc_id, r.item_id) for r in ct.reparameterised(found).collect()}
+    planted = {k for k, _ in enumerate(items)}
+    assert len(want) >= 5
+    assert len(got & want) >= 0.95 * len(want)
+    assert sum(d in planted for d, _ in got) >= 0.9 * len(got)
