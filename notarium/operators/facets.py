@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notarium.operators.index import dense_ids
+
 #: Fields that are no facets by themselves.
 NO_FACETS = ("title", "date", "created", "updated", "aliases")
 UNSET = "(not set)"
@@ -42,7 +44,12 @@ def facets(notes: DataFrame, fields: list[str] | None = None, max_values: int =
         chosen = present.where((F.col("present") > 1) & ~F.col("field").isin(*NO_FACETS)).join(few.select("field"), "field", "left_semi")
         chosen = chosen.withColumn("field_rank", F.row_number().over(Window.orderBy(F.desc("present"), "field")))  # a row a field
     shown = counts.join(chosen.select("field", "field_rank"), "field")
-    shown = shown.withColumn("value_rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value")))
+    if fields:  # of any size, so that they are ranked by sorted ranges
+        placed = dense_ids(shown.withColumn("\x02n", -F.col("n")), ["field", "\x02n", "value"], "place")
+        first = placed.groupBy("field").agg(F.min("place").alias("first"))
+        shown = placed.join(first, "field").withColumn("value_rank", (F.col("place") - F.col("first") + 1).cast("int"))
+    else:
+        shown = shown.withColumn("value_rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value")))
     unset = chosen.join(F.broadcast(total), F.lit(True)).select("field", "field_rank", F.lit(UNSET).alias("value"), (F.col("n_notes") - F.col("present")).alias("n")).where("n > 0")
     last = F.lit(2_147_483_647)
     return shown.select("field_rank", "field", "value_rank", "value", "n").unionByName(unset.select("field_rank", "field", last.alias("value_rank"), "value", "n"))

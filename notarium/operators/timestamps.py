@@ -101,7 +101,9 @@ def with_instant(df: DataFrame, raw: str, zone: str, out: str = "utc_us") -> Dat
     """
     keep = [c for c in df.columns if c != out]
     t, v = "\x02parts", "\x02v"
-    got = df.withColumn(t, F.split(F.when(F.col(f"`{raw}`").rlike(PATTERN), F.regexp_replace(F.col(f"`{raw}`"), PATTERN, _REPLACE)), "\x01"))
+    own = F.col(f"`{raw}`")
+    # a value that doesn't match comes back as it is, without slots
+    got = df.withColumn(t, F.split(F.regexp_replace(F.when(~own.contains("\x01"), own), PATTERN, _REPLACE), "\x01"))
     part = {s: F.get(F.col(f"`{t}`"), F.lit(k + 1)) for k, s in enumerate(SLOTS)}
     month = F.coalesce(_int(part["m"]), *[F.when(F.lower(F.nullif(part["n"], F.lit(""))) == name, F.lit(k + 1)) for k, name in enumerate(MONTHS)])
     lower_half, frac = F.lower(part["p"]), F.rpad(F.substring(part["f"], 1, 6), 6, "0")
