@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Boundaries by falling strength, as lookbehinds: a blank line, a line end, a sentence end, a space.
 BOUNDARIES = (r"(?<=\n {0,40}\n)", r"(?<=\n)", r"(?<=[.!?…。！？][\"'”’»)\]]{0,3}\s)", r"(?<=\s)")
 
+#: Pieces whose offsets are summed up together.
+_BLOCK = 128
+
 
 def taker(room: int) -> str:
     """The expression for the next piece: what is left if that is at most ``room`` characters, else as much as ends at the strongest boundary within them, else ``room`` characters."""
@@ -56,10 +59,9 @@ def pieces(items: DataFrame, body_col: str = "body", line_col: str | None = "lin
     cores = F.when(F.length(own("t")) > limit, F.regexp_extract_all(own("t"), F.lit(taker(room)), F.lit(0))).otherwise(F.array(own("t")))
     x = x.withColumn("\x02c", cores).drop("\x02t")
     size = lambda c: F.struct(F.length(c).alias("n"), _newlines(c).alias("lines"))
-    step = lambda acc, s: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["n"] + s["n"]).alias("n"), (F.element_at(acc, -1)["lines"] + s["lines"]).alias("lines"))))
-    before = F.aggregate(F.transform(own("c"), size), F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"))), step)
+    x = x.withColumn("\x02z", F.transform(own("c"), size)).withColumn("\x02d", _before(own("z")))
     previous = F.concat(F.array(F.lit("")), F.slice(own("c"), F.lit(1), F.size(own("c")) - 1))
-    zipped = F.arrays_zip(own("c").alias("core"), previous.alias("previous"), F.slice(before, F.lit(1), F.size(own("c"))).alias("at"))
+    zipped = F.arrays_zip(own("c").alias("core"), previous.alias("previous"), own("d").alias("at"))
     x = x.select(*keep, own("blank"), own("line"), F.size(own("c")).alias("\x02n"), F.posexplode(zipped).alias("\x02k", "\x02p"))
     piece = lambda f: F.col(f"`\x02p`.{f}")
     x = x.withColumn("\x02s", _overlap(F.when(F.lit(overlap > 0), F.expr(f"right(`\x02p`.previous, {max(overlap, 1)})")).otherwise("")))
@@ -72,6 +74,16 @@ def pieces(items: DataFrame, body_col: str = "body", line_col: str | None = "lin
     )
 
 
+def _before(sizes: Column) -> Column:
+    """For each of ``sizes`` (n, lines) the sum of those before it: within blocks, and over blocks, so that many pieces don't cost their square."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"))
+    plus = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["lines"] + b["lines"]).alias("lines"))
+    sums = lambda xs: F.slice(F.aggregate(xs, F.array(none), lambda acc, s: F.concat(acc, F.array(plus(F.element_at(acc, -1), s)))), F.lit(1), F.size(xs))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(_BLOCK)), lambda k: F.slice(sizes, k, F.lit(_BLOCK)))
+    starts = sums(F.transform(blocks, lambda b: F.aggregate(b, none, plus)))
+    return F.flatten(F.zip_with(starts, blocks, lambda start, b: F.transform(sums(b), lambda s: plus(start, s))))
+
+
 def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 

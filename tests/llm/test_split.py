@@ -76,3 +76,11 @@ def test_very_long(spark):
     for text in ("z" * 1_000_000, "w " * 500_000):
         (rows,) = cut(spark, [text]).values()
         assert sum(len(r.text) - r.shared for r in rows) == len(text)
+
+
+def test_very_many_pieces(spark):
+    """40,000 pieces of one body, each where it belongs."""
+    text = "".join(f"line {i:06} of it\n" for i in range(40_000))
+    rows = cut(spark, [text], limit=24, overlap=0)[0]
+    assert len(rows) == 40_000 and "".join(r.text for r in rows) + "\n" == text or "".join(r.text for r in rows) == text.rstrip("\n")
+    assert all(r.line_start == 5 + k and r.start == 18 * k for k, r in enumerate(rows))
