@@ -39,7 +39,7 @@ def checkpoint_ready(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local["):
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or _own_folder())
 
@@ -62,12 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     checkpoint_ready(spark)
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
         return df.select("*").checkpoint(eager=True)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 _SHIPPED: set[str] = set()

@@ -83,12 +83,26 @@ def _reader(root: str, read: Callable[[str], bytes]):
     return run
 
 
+def crawl_stored(spark: SparkSession, root: str, opt: CrawlOptions) -> DataFrame:
+    """``crawl`` of a folder in any file system that Spark reaches, listed and read by its executors; files starting with ``_`` or ``.`` stay hidden there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    either_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in opt.extensions or EXTENSIONS]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(either_case)}}}").load(root)
+    rel = F.expr(f"substring(path, {len(base.rstrip('/')) + 2})")
+    named = rows.select(rel.alias("path"), "content", F.date_trunc("second", "modificationTime").alias("mtime")).where(wanted(F.col("path"), opt))
+    return named.select("path", content_hash(F.col("content")).alias("hash"), "mtime", F.col("content").cast("string").alias("text"))
+
+
 def crawl(spark: SparkSession, root: str, opt: CrawlOptions | None = None, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
     """(path, hash, mtime, text) of the notes below ``root``, a folder that all executors see; read in parallel.
 
-    Bytes that are no UTF-8 become replacement characters.
+    Bytes that are no UTF-8 become replacement characters. A root with a scheme
+    (``hdfs://``, ``s3a://``) is read by ``crawl_stored``.
     """
     opt = opt or CrawlOptions()
+    if "://" in root:
+        return crawl_stored(spark, root, opt)
     paths = spark.createDataFrame([(p,) for p in walk(root)], "path string").where(wanted(F.col("path"), opt))
     files = paths.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_reader(os.path.abspath(root), read), "path string, content binary, mtime timestamp")
     return files.select("path", content_hash(F.col("content")).alias("hash"), "mtime", F.col("content").cast("string").alias("text"))
