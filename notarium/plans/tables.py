@@ -31,9 +31,9 @@ def stored(spark: SparkSession, root: str) -> ix.Index:
 
 
 def written(spark: SparkSession, root: str) -> ix.Index:
-    """For several: postings and lengths are written out first, as in a saved index."""
+    """For several: the postings are written out first, as in a saved index. Of the totals only those that are read are worked out."""
     n, c, p = notes(spark, root), chunks(spark, root), cut(postings(spark, root))
-    return ix.Index(n, c, p, cut(ix.doc_lengths(p)), cut(ix.corpus_stats(n, c, p)))
+    return ix.Index(n, c, p, ix.doc_lengths(p), ix.corpus_stats(n, c, p))
 
 
 def sighted(spark: SparkSession, root: str) -> DataFrame:

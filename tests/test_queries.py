@@ -1,6 +1,7 @@
 """Every query of the core against its SQL, and the parts that SQL doesn't reach."""
 
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -122,3 +123,18 @@ def test_completion():
         enrich.checked_prompt("no place")
     with pytest.raises(ValueError):
         enrich.checked_prompt("%s %s")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_places_are_counted_where_the_hits_are(spark, few):
+    """Places behind the first ones equal those of the sorted list, ties included; few steps go to the hits, not the hits to one task a query."""
+    rng = random.Random(6)
+    rows = [(q, c, float(rng.randrange(12))) for q in (1, 2, 3) for c in rng.sample(range(1000), 300)]
+    hits = spark.createDataFrame(rows, "query_id bigint, chunk_id bigint, score double")
+    every = {(r.query_id, r.chunk_id): r.rank for r in search.ranked(hits).collect()}
+    asked = [(q, c) for q, c, _ in rng.sample(rows, 120)] + [(1, 5000)]
+    got = search._places(hits, search.ranked(hits, 20), spark.createDataFrame(asked, "query_id bigint, chunk_id bigint"), few)
+    assert {(r.query_id, r.chunk_id): r.rank for r in got.collect()} == {k: every[k] for k in asked if k in every}
+    if few:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [query_id" in plan and not any("SortMergeJoin [query_id#" in line and "score" in line for line in plan.split("\n"))
