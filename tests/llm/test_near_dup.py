@@ -1,3 +1,4 @@
+import os
 import random
 from itertools import combinations
 
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from notarium import runtime
 from notarium.llm import near_dup as nd
 from notarium.llm import words
 
@@ -178,3 +180,32 @@ def test_pairs_at_the_threshold_are_found(spark):
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:42] + [f"x{rng.randrange(10**9)}" for _ in range(20)]))]
     assert len(shingles(rows[0][1]) & shingles(rows[1][1])) * 2 == len(shingles(rows[0][1]) | shingles(rows[1][1]))
     assert len(found(spark, rows)) >= 0.97 * 2000
+
+
+def test_no_step_moves_the_keys_of_all_bands(spark, monkeypatch):
+    """A step shuffles a few bands' keys with their nodes (12 bytes each, 64 of them a set), and none is kept in a cache that spills to disk."""
+    sc, n = spark.sparkContext._jsc.sc(), 4000
+    df = spark.range(0, n, 1, 2).select("id", F.expr("array_join(transform(sequence(1, 30), i -> sha1(concat(id, ' ', i))), ' ')").alias("text"))
+    moved = []
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    def cut(x):
+        before = written()
+        out = runtime.cut(x)
+        moved.append(written() - before)
+        return out
+
+    monkeypatch.setattr(nd, "cut", cut)
+    monkeypatch.setattr(type(df), "persist", lambda *a: pytest.fail("persisted"))
+    assert nd.class_links([nd.Field("f", df, "id", "text", WORDS)]).links.count() == 0
+    assert sum(moved) > 64 * 4 * n and max(moved) < 16 * 12 * n
+
+
+def test_what_is_released_is_gone(spark):
+    at = lambda df: df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    kept, gone = runtime.cut(spark.range(10)), runtime.cut(spark.range(10))
+    runtime.release(gone)
+    assert not os.path.exists(at(gone)) and os.path.exists(at(kept)) and kept.count() == 10
