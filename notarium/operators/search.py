@@ -12,15 +12,18 @@ counted, not sorted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notarium.functions import dates, terms
 from notarium.functions import text as tx
-from notarium.operators.index import Index
+from notarium.operators.index import Index, dense_ids
 from notarium.runtime import cut
 
 #: Fixed values of the ranking formulas.
@@ -28,6 +31,8 @@ K1, B, RRF = 1.2, 0.75, 60
 BROADCAST_TERMS = 200_000
 #: Up to so many terms are named in a predicate.
 FEW_TERMS = 500
+#: A term whose postings times the queries that have it are more is shared: what queries have in common of such terms is scored once.
+SHARED = 20_000
 #: Scores are compared to so many decimals, so that the order of additions can't decide.
 DECIMALS = 9
 
@@ -115,12 +120,107 @@ def _scored(index: Index, q: DataFrame, p: DataFrame, live: DataFrame, few: bool
     weighted = q.join(weighted, "term")
     hits = p.join(live.select("chunk_id"), "chunk_id", "left_semi").join(index.doc_len, "chunk_id", "left")
     hits = hits.join(F.broadcast(weighted) if few else weighted, "term")
+    return _summed(hits)
+
+
+def _summed(hits: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of ``hits`` (query_id, chunk_id, pos, idf, tf, len, avg_len)."""
     tf, length = F.col("tf").cast("double"), F.coalesce(F.col("len"), F.lit(0)).cast("double")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.col("avg_len")))
     parts = hits.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("s")))).alias("x"))  # at most a query's terms
     return parts.select("query_id", "chunk_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, y: a + y["s"]), DECIMALS).alias("score"))
 
 
+def _firsts(sets: list[tuple[int, list[int], list[float]]], avg_len: float, k: int):
+    """(query_id, chunk_id, s) of rows (chunk_id, len, x): the chunks of each batch that may be the first ``k`` of each of the ``sets`` (id, terms, their idf).
+
+    x holds 32 bits of term and 32 of tf each, sorted. Scores that differ by
+    less than their decimals may stand in any order here: all of them come out,
+    of equal ones the first ``k`` chunks.
+    """
+    idf = dict(x for _, terms_, idfs in sets for x in zip(terms_, idfs, strict=True))
+    known = np.array(sorted(idf), np.int64)
+    weight = np.array([idf[t] for t in known.tolist()])
+    members = [(i, np.searchsorted(known, np.array(terms_, np.int64)).tolist()) for i, terms_, _ in sets]
+    slack = 2 * 10.0**-DECIMALS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, length, x = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float), batch.column(2)
+            flat = x.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(ids)), np.diff(x.offsets.to_numpy()))
+            term, tf = flat >> 32, (flat & 0xFFFFFFFF).astype(float)
+            at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+            keep = known[at] == term
+            at, owner, tf = at[keep], owner[keep], tf[keep]
+            part = weight[at] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length[owner] / avg_len))
+            order = np.argsort(at, kind="stable")
+            at, owner, part = at[order], owner[order], part[order]
+            ends = np.searchsorted(at, np.arange(len(known) + 1))
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i, own in members:
+                score = np.zeros(len(ids))
+                for t in own:
+                    np.add.at(score, owner[ends[t] : ends[t + 1]], part[ends[t] : ends[t + 1]])
+                hit = np.flatnonzero(score)
+                if len(hit) > k:
+                    hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - slack]
+                if len(hit):
+                    hit = hit[np.lexsort((ids[hit], -score[hit]))]
+                    start = np.concatenate([[True], score[hit][1:] != score[hit][:-1]])
+                    n = np.arange(len(hit))
+                    hit = hit[n - np.maximum.accumulate(np.where(start, n, 0)) < k]
+                    out.append((np.full(len(hit), i), ids[hit], score[hit]))
+            if out:
+                q, c, z = map(np.concatenate, zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(z)], names=["query_id", "chunk_id", "s"])
+
+    return run
+
+
+def first_of(index: Index, asked: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the first ``k`` (positive) of ``bm25_of``, without the hits of all terms of all queries.
+
+    Queries with the same terms are asked once. Parts of a score are positive,
+    so a chunk is among the first only if it has a term that isn't shared, or is
+    among the first by the shared terms alone; these are looked for once a set
+    of shared terms. Only such chunks are scored by all terms. The postings are
+    read once, into a row a chunk.
+    """
+    q = asked.select("query_id", F.posexplode(F.array_distinct(tx.tokenize(F.col("text")))).alias("pos", "term")).dropDuplicates(["query_id", "term"])
+    lists = cut(q.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms")).withColumnRenamed("query_id", "id"))
+    ids = lists.groupBy("terms").agg(F.min("id").alias("query_id"))
+    each = cut(ids.select("query_id", F.posexplode("terms").alias("pos", "term")))
+    named = cut(dense_ids(each.groupBy("term").agg(F.count("*").alias("n")), ["term"], "t"))
+    few = named.count() <= BROADCAST_TERMS
+    hint = lambda df: F.broadcast(df) if few else df
+    x = F.array_sort(F.collect_list(F.shiftleft("t", 32).bitwiseOR(F.col("tf").cast("bigint"))))
+    rows = index.postings.join(hint(named.select("term", "t")), "term", "left").groupBy("chunk_id").agg(F.sum("tf").alias("len"), x.alias("x"))
+    rows = cut(rows.join(live.select("chunk_id", F.lit(True).alias("live")).distinct(), "chunk_id", "left"))
+    n_chunks, total = index.chunks.select("chunk_id").distinct().count(), rows.agg(F.sum("len")).first()[0] or 0
+    avg_len = total / n_chunks if n_chunks else 0.0
+    here = rows.where("live and size(x) > 0").select("chunk_id", "len", "x")
+    df = rows.select(F.explode("x").alias("v")).groupBy(F.shiftright("v", 32).alias("t")).agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = named.join(df, "t").select("term", "t", idf.alias("idf"), (F.col("df") * F.col("n") > SHARED).alias("shared"))
+    each = cut(each.join(hint(weighted), "term").select("query_id", "pos", "t", "idf", "shared"))
+    posted = here.select("chunk_id", F.explode("x").alias("v")).select("chunk_id", F.shiftright("v", 32).alias("t"))
+    candidates = posted.join(hint(each.where("not shared").select("query_id", "t")), "t").select("query_id", "chunk_id")
+    own = each.where("shared").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "idf"))).alias("y")).select("query_id", F.col("y.t").alias("ts"), F.col("y.idf").alias("idfs"))
+    sets = cut(own.groupBy("ts").agg(F.first("idfs").alias("idfs"), F.min("query_id").alias("id")))
+    if (sets.agg(F.sum(F.size("ts"))).first()[0] or 0) > BROADCAST_TERMS:
+        return ranked(bm25_of(index, asked, live), k)
+    if told := [(r.id, r.ts, r.idfs) for r in sets.collect()]:
+        firsts = here.mapInArrow(_firsts(told, avg_len, k), "query_id bigint, chunk_id bigint, s double").select("query_id", "chunk_id", F.round("s", DECIMALS).alias("score"))
+        firsts = ranked(firsts, k).select(F.col("query_id").alias("id"), "chunk_id")
+        candidates = candidates.unionByName(own.join(sets.select("ts", "id"), "ts").select("query_id", "id").join(firsts, "id").select("query_id", "chunk_id"))
+    hits = candidates.distinct().join(here, "chunk_id").select("query_id", "chunk_id", "len", F.explode("x").alias("v")).select("query_id", "chunk_id", "len", F.shiftright("v", 32).alias("t"), F.col("v").bitwiseAND(0xFFFFFFFF).alias("tf"))
+    hits = hits.join(hint(each.select("query_id", "pos", "t", "idf")), ["query_id", "t"]).withColumn("avg_len", F.lit(avg_len))
+    top = ranked(_summed(hits), k).withColumnRenamed("query_id", "first")
+    same = lists.join(ids, "terms").select(F.col("id").alias("query_id"), F.col("query_id").alias("first"))
+    return same.join(top, "first").select("query_id", "chunk_id", "score", "rank")
+
+
 def literal_candidates(index: Index, queries: dict[int, str]) -> DataFrame:
     """(query_id, n, literal, token): each literal term's rarest token, where all its tokens are in the index; the first of equally rare ones.
 

@@ -84,9 +84,9 @@ def search_literal(spark: SparkSession, root: str) -> DataFrame:
 
 def search_titles(spark: SparkSession, root: str) -> DataFrame:
     """The first ten chunks for the title of every note whose id is divisible by 20."""
-    i = tables.written(spark, root)
+    i = tables.stored(spark, root)
     asked = tables.notes(spark, root).where("note_id % 20 = 0 and title is not null").select(F.col("note_id").alias("query_id"), F.col("title").alias("text"))
-    return search.ranked(search.bm25_of(i, asked, search.live_chunks(i)), 10).withColumn("score", F.round("score", 6))
+    return search.first_of(i, asked, search.live_chunks(i), 10).withColumn("score", F.round("score", 6))
 
 
 def _flat(hits: DataFrame) -> DataFrame:

@@ -138,3 +138,32 @@ def test_places_are_counted_where_the_hits_are(spark, few):
     if few:
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin [query_id" in plan and not any("SortMergeJoin [query_id#" in line and "score" in line for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize("shared", [0, 25, 10**9])
+def test_first_hits_are_those_of_all_hits(spark, monkeypatch, shared):
+    """However many terms count as shared, ties included; queries alike are scored once, by no more chunks than needed."""
+    rng = random.Random(4)
+    words = [f"word{chr(97 + i)}" for i in range(8)] + [f"name{chr(97 + i)}q" for i in range(20)]
+    bodies = [" ".join(rng.choices(words[:8], k=rng.randrange(1, 7)) + rng.sample(words[8:], rng.randrange(2))) for _ in range(300)]
+    chunks = spark.createDataFrame([(i, f"{i % 40}.md", 0, "", 1, b) for i, b in enumerate(bodies)], ix.CHUNKS)
+    notes = spark.createDataFrame([(f"{i}.md", None, None, None, None, None, None, None, None) for i in range(35)], ix.NOTES)
+    posted = ix.postings(chunks)
+    posted = posted.unionByName(posted.where("chunk_id % 7 = 0").withColumn("tf", posted["tf"] + 1))
+    index = ix.Index(notes, chunks, posted, ix.doc_lengths(posted), ix.corpus_stats(notes, chunks, posted))
+    texts = [" ".join(rng.choices(words[:8], k=3) + rng.sample(words[8:], rng.randrange(3))) for _ in range(30)]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:9], "", "absent", None])], "query_id bigint, text string")
+    live = search.live_chunks(index)
+    monkeypatch.setattr(search, "SHARED", shared)
+    scored = []
+    monkeypatch.setattr(search, "_summed", lambda hits, f=search._summed: (scored.append(hits), f(hits))[1])
+    got = sorted(tuple(r) for r in search.first_of(index, asked, live, 5).collect())
+    n = scored[0].select("query_id", "chunk_id").distinct().count()
+    assert got == sorted(tuple(r) for r in search.ranked(search.bm25_of(index, asked, live), 5).select("query_id", "chunk_id", "score", "rank").collect())
+    assert n <= 30 * 5 if shared == 0 else n > 30 * 5
+
+
+def test_titles_do_not_score_all_hits(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARED", 100)
+    monkeypatch.setattr(search, "bm25_of", lambda *a: pytest.fail("all hits"))
+    compare(spark, registry.QUERIES["search_titles"], registry.SQL["search_titles"])
